@@ -1,6 +1,10 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
+from .decontaminate import op9_benchmark_decontamination
+from .language_id import op10_language_id
+from .mixing import op4_mixing_sources
 from .ngram_join import op5_ngram_jaccard_join
+from .packing import op8_token_packing
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op4_mixing_sources, op5_ngram_jaccard_join, op8_token_packing, op9_benchmark_decontamination, op10_language_id)}
 ORACLES: dict[str, str] = {}
