@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import drop, small_batches, stash
+from .store import broadcast_if, drop, small_batches, stash
 from .words import mix, shingle_sets
 
 #: Cells of the frequency sketch that orders shingles; its size does not depend on the input.
@@ -27,6 +27,8 @@ SHARE = 0.001
 #: Longs of a parity sketch: bit b tells whether an odd number of shingles fall into cell b.
 LANES = 8
 SKETCH = [f"s{i}" for i in range(LANES)]
+#: Ids that are broadcast to pick texts, 8 bytes each; more are joined by shuffling.
+BROADCAST_IDS = 500_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -65,10 +67,18 @@ def fingerprint(s: np.ndarray) -> int:
     return int((mix(s ^ np.uint64(0xA0761D6478BD642F)).sum() + np.uint64(len(s))).astype(np.int64))
 
 
-def parity_sketch(s: np.ndarray) -> np.ndarray:
-    """Bits set in the exclusive or of two sketches never exceed the sets' symmetric difference."""
-    cells = (mix(s) % np.uint64(LANES * 64)).astype(np.int64)
-    return np.packbits((np.bincount(cells, minlength=LANES * 64) & 1).astype(np.uint8)).view(np.int64)
+def parity_sketch(s: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """Bits set in the exclusive or of two sketches never exceed the sets' symmetric difference.
+
+    The two halves of a sketch give, by exclusive or, the sketch with half the lanes.
+    """
+    cells = (mix(s) % np.uint64(lanes * 64)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=lanes * 64) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _wide_lanes(n: int) -> int:
+    """Lanes of a large set's second sketch, a power of two with about a bit for two shingles; 0 for small sets."""
+    return 1 << (n // 128).bit_length() if n >= 256 * LANES else 0
 
 
 def _may_link(n: tuple[str, str], ends: tuple[str, str], percent: int, slack: str = "0") -> str:
@@ -79,13 +89,16 @@ def _may_link(n: tuple[str, str], ends: tuple[str, str], percent: int, slack: st
 
 
 def shingle_table(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n, set_key, prefix_key, prefix (rarest first) and sketch of each document."""
+    """doc_id, n, set_key, prefix_key, prefix (rarest first) and sketches of each document.
+
+    Prefix shingles keep 32 bits: a collision there is one more candidate and changes no result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # CELLS bytes
 
     def run(batches):
         rank = shared.value
         for batch in batches:
-            ns, keys, prefix_keys, prefixes, sketches = [], [], [], [], []
+            ns, keys, prefix_keys, prefixes, sketches, wide = [], [], [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n = len(s)
                 p = prefix_length(n, percent)
@@ -94,21 +107,22 @@ def shingle_table(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> D
                 ns.append(n)
                 keys.append(fingerprint(s) if n else None)
                 prefix_keys.append(fingerprint(prefix) if n else None)
-                prefixes.append(prefix.view(np.int64))
+                prefixes.append(prefix.astype(np.uint32).view(np.int32))
                 sketches.append(parity_sketch(s))
+                wide.append(parity_sketch(s, lanes) if (lanes := _wide_lanes(n)) else None)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int32)
             lanes = np.stack(sketches).T if sketches else np.empty((LANES, 0), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefix_keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *(pa.array(x.copy()) for x in lanes)],
-                ["doc_id", "n", "set_key", "prefix_key", "prefix", *SKETCH],
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefix_keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(wide, pa.list_(pa.int64())), *(pa.array(x.copy()) for x in lanes)],
+                ["doc_id", "n", "set_key", "prefix_key", "prefix", "wide", *SKETCH],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key long, prefix_key long, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key long, prefix_key long, prefix array<int>, wide array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
 
 
 def _sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
-    """set_key, n, shingles of the sets in ``active`` (set_key, doc_id), from their whole texts."""
+    """set_key, shingles of the sets in ``active`` (set_key, doc_id), from their whole texts."""
 
     def run(batches):
         for batch in batches:
@@ -120,22 +134,42 @@ def _sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["set_key", "shingles"])
 
-    texts = docs.join(active.select("doc_id"), "doc_id", "left_semi").select("text")
+    # an id that is null joins nothing, so texts without one are all looked at
+    ids = broadcast_if(active.select("doc_id"), BROADCAST_IDS)
+    texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select("text")
     found = texts.mapInArrow(run, "set_key long, shingles array<long>")
-    return found.join(active.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+    return found.join(broadcast_if(active.select("set_key"), BROADCAST_IDS), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def _may_link_wide(a: str, b: str, percent: int) -> str:
+    """SQL: the wide sketches, where both sets have one, allow the threshold; the longer is folded once."""
+    fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
+    odd = f"aggregate(zip_with({fold.format(f'{a}wide', f'{b}wide')}, {fold.format(f'{b}wide', f'{a}wide')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return f"coalesce((100 + {percent}) * {odd} <= (100 - {percent}) * ({a}n + {b}n), true)"
+
+
+def _active(pairs: DataFrame, members: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    active = stash(members.select("set_key", "doc_id").join(ends, "set_key", "left_semi"), "active")
+    return stash(members.select("set_key", "doc_id").join(ends, "set_key", "left_semi"), "active")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold."""
+    active = _active(pairs, members)
+    wide = table.where("wide IS NOT NULL").select("set_key", "n", "wide").join(broadcast_if(active.select("set_key"), BROADCAST_IDS), "set_key", "left_semi")
+    wide = stash(wide.dropDuplicates(["set_key"]), "wide")
+    one, two = _prefixed(wide, "x_"), _prefixed(wide, "y_")
+    fit = pairs.join(one, pairs.a == one.x_set_key, "left").join(two, pairs.b == two.y_set_key, "left").where(_may_link_wide("x_", "y_", percent))
+    pairs = stash(fit.select("a", "b"), "fit")
+    drop(active)
+    active = _active(pairs, members)
     sets = stash(_sets(docs, active, k), "sets")
     one = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    wide = pairs.join(one, "a").join(two, "b")
-    links = stash(wide.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
-    drop(active, sets)
+    joined = pairs.join(one, "a").join(two, "b")
+    links = stash(joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+    drop(active, sets, wide, pairs)
     return links
 
 
@@ -178,7 +212,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     stars = to_hub.join(hub, (to_hub.hub == hub.h_gid) & fit).select(F.col("hub").alias("a"), F.col("set_key").alias("b"))
     own = members.where("gid <> set_key").select(F.col("gid").alias("a"), F.col("set_key").alias("b"))
     first = stash(stars.unionByName(own).distinct(), "first")
-    linked = _verified(first, docs, members, k, percent)
+    linked = _verified(first, docs, table, members, k, percent)
 
     # what the hubs have not joined is paired, group with group, and expanded
     parts = components(linked, "a", "b")
@@ -203,7 +237,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     ends = ends.join(far, fit).select(F.col("l_set_key").alias("a"), F.col("x_set_key").alias("b"))
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = stash(ends.join(done, ["a", "b"], "left_anti"), "second")
-    more = _verified(second, docs, members, k, percent)
+    more = _verified(second, docs, table, members, k, percent)
 
     final = components(linked.unionByName(more), "a", "b")
     named = reps.join(final, reps.set_key == final.node, "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("part"))
@@ -215,5 +249,22 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """One row of ``docs`` from each class of near copies, that of least doc_id; all other rows go.
+
+    Rows without words stay. Where doc_id is null or repeated somewhere, rows are numbered first and
+    the least number stays, so that repeated rows are copies of each other too.
+    """
+    columns = docs.columns
+    odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1)
+    if odd.count():
+        rows = stash(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("id")), "numbered")
+    else:
+        rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    classes = jaccard_classes(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), k, percent)
+    gone = broadcast_if(stash(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("id")), "gone"), BROADCAST_IDS)
+    return rows.join(gone, "id", "left_anti").select("row.*").select(*(F.col(f"`{c}`") for c in columns))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +27,12 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmap/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffle files
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -40,3 +51,19 @@ def drop(*frames: DataFrame) -> None:
 def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Bound the Arrow batches that Python workers hold, whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a narrow table at hand, marked for broadcast if it has at most ``rows`` rows; else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+class Shipped:
+    """A broadcast object whose class travels with it, so that executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self.packed.value)
