@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, stash
+from .store import Shipped, small_batches, stash
 from .words import ALNUM, Words, gram, slices
 
 #: Benchmark words that one pass holds; a larger benchmark takes more passes over the documents.
@@ -139,7 +139,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     for i in count():
         following = next(blocks, None)
         kept = [c for c in out.columns if keep_text or following is not None or c != "text"]
-        tests = spark.sparkContext.broadcast(Windows(block, window))
+        tests = Shipped(spark, Windows(block, window))
 
         def run(batches, tests=tests, kept=kept):
             t = tests.value

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import Shipped, small_batches
 from .words import slices, text_bytes
 
 WINDOW, WIDTHS, FILTERS, EMBED, CLASSES = 256, (2, 3, 4), 16, 12, 64
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text", keep_
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = Shipped(docs.sparkSession, net)
     kept = [c for c in docs.columns if keep_text or c != text]
 
     def run(batches):
