@@ -23,9 +23,9 @@ from .words import mix, shingle_sets
 #: Cells of the frequency sketch that orders shingles; its size does not depend on the input.
 CELLS = 1 << 22
 #: A cell is reported by a partition in which this share of the documents (4 at least) hit it.
-SHARE = 0.001
+SHARE = 0.0004
 #: Longs of a parity sketch: bit b tells whether an odd number of shingles fall into cell b.
-LANES = 8
+LANES = 16
 SKETCH = [f"s{i}" for i in range(LANES)]
 #: Ids that are broadcast to pick texts, 8 bytes each; more are joined by shuffling.
 BROADCAST_IDS = 500_000
