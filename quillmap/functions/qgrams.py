@@ -43,7 +43,7 @@ def base_length(n_grams: Column, q: int) -> Column:
 
 def grams_of(s: str, q: int) -> list[str]:
     """The same on the driver, for the strings of a query."""
-    return [s[: i + 1] if i + 1 < _checked(q) else s[i - q + 1 : i + 1] for i in range(len(s) + q - 1)]
+    return [s[: i + 1] if i + 1 < q else s[i - q + 1 : i + 1] for i in range(len(s) + _checked(q) - 1)]
 
 
 def overlap_counts(pairs: DataFrame, q: int, a: str = "a", b: str = "b", keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
