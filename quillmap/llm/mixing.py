@@ -1,4 +1,9 @@
-"""Mixing sources to target weights by repetition rates and one seeded Bernoulli copy."""
+"""Mixing sources to target weights by repetition rates and one seeded Bernoulli copy.
+
+Documents differ much in size, so a small source's draws can miss its target by a good part. Every source
+therefore has ``DRAWS`` seeds to choose from, each an own set of Bernoulli draws with the same probability,
+and takes the one whose words come nearest to its target.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,7 @@ WEIGHTS = (3, 1, 2)
 #: Words the mix takes in all, in percent of the words there are, and the most a source may repeat.
 SHARE_PERCENT, CAP = 150, 2
 WORD = r"[^\x20\x09-\x0D]+"
+DRAWS = 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -48,22 +54,51 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return fills.select("source", "source_size", F.when(F.col("full"), capped).otherwise(shared).alias("target"))
 
 
+def _key() -> F.Column:
+    """What a row's draws depend on: doc_id, or the text where that is null."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
+
+
+def _draw(seed: int, key: F.Column, k: F.Column) -> F.Column:
+    """The k-th draw of a key, uniform in [0, 1): 32 bits of an MD5 digest, which holds four of them."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.floor(k / 4).cast("string"), F.lit(":"), key))
+    return F.conv(F.substring(digest, (k % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def _rate() -> F.Column:
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+
+
+def source_draws(slim: DataFrame, seed: int) -> DataFrame:
+    """``of_source, source_size, target, k``: each source's target, and the draw that comes nearest to it, the first of equals.
+
+    From rows of (source, size, key); one aggregation with a sum for each draw.
+    """
+    targets = stash(source_targets(slim.select("source", "size")), "targets")
+    targets = targets.select(F.col("source").alias("of_source"), "source_size", "target")
+    joined = slim.join(targets, slim.source.eqNullSafe(targets.of_source))
+    rate = _rate()
+    sums = [F.sum(F.when(_draw(seed, F.col("key"), F.lit(k)) < rate - F.floor(rate), F.col("size")).otherwise(0)) for k in range(DRAWS)]
+    each = joined.groupBy("of_source", "source_size", "target").agg(F.array(*sums).alias("extra"))
+    miss = F.transform("extra", lambda x: F.abs(F.floor(rate) * F.col("source_size") + x - F.col("target")))
+    return stash(each.select("of_source", "source_size", "target", (F.array_position(miss, F.array_min(miss)) - 1).cast("long").alias("k")), "draws")
+
+
 def copies(docs: DataFrame, seed: int = 20240229) -> DataFrame:
     """``docs`` with ``size, source_size, target`` of its source and ``copies`` to emit.
 
     rate = target / source_size; a row is emitted floor(rate) times, and once more with probability
-    rate - floor(rate), drawn from a hash of doc_id, text and ``seed``, so that reruns and any
-    partitioning agree; repeated rows draw alike. A null text has size 0 and its row is mixed like
+    rate - floor(rate), drawn from a hash of ``seed`` and doc_id (of the text where that is null), so that
+    reruns and any partitioning agree; repeated rows draw alike. A null text has size 0 and its row is mixed like
     the rest of its source; a source without words has target 0 and none of its rows is emitted.
     Columns of ``docs`` by these names are replaced.
     """
     sized = sizes(docs.drop("size", "source_size", "target", "copies"))
-    targets = stash(source_targets(sized.select("source", "size")), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    keys = targets.select(F.col("source").alias("of_source"), "source_size", "target")
-    found = sized.join(keys, sized.source.eqNullSafe(keys.of_source), "left").drop("of_source")
-    return found.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long"))
+    draws = source_draws(stash(sized.select("source", "size", _key().alias("key")), "slim"), seed)
+    found = sized.join(draws, sized.source.eqNullSafe(draws.of_source), "left")
+    rate = _rate()
+    extra = (_draw(seed, _key(), F.col("k")) < rate - F.floor(rate)).cast("long")
+    return found.withColumn("copies", (F.floor(rate) + extra).cast("long")).drop("of_source", "k")
 
 
 def mix(docs: DataFrame, seed: int = 20240229) -> DataFrame:

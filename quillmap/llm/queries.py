@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
+from . import oracles
 from .decontaminate import op9_benchmark_decontamination
 from .hnsw import op3_embedding_near_dedup
 from .html_text import op6_html_extraction
@@ -18,4 +19,4 @@ QUERIES = {
         op6_html_extraction, op7_substring_dedup, op8_token_packing, op9_benchmark_decontamination, op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_mixing_sources": oracles.MIXING, "op5_ngram_jaccard_join": oracles.NGRAM_JOIN, "op9_benchmark_decontamination": oracles.DECONTAMINATION}
