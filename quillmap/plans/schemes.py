@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import minwise
-from ..functions.qgrams import grams_of
+from ..functions.qgrams import grams_of, positional_qgrams
 from ..operators import build
 
 
@@ -149,9 +149,42 @@ class PositionalQGrams:
         wanted = F.array(*(F.struct(F.lit(g).alias("gram"), F.lit(c).alias("n")) for g, c in counts.items()))
         names = F.transform("grams", lambda x: x["gram"])
         shared = F.aggregate(wanted, F.lit(0), lambda s, w: s + F.least(w["n"], F.size(F.filter(names, lambda g: g == w["gram"]))))
+        return self._passes(leaf, shared)
+
+    def _passes(self, leaf: Has, shared: Column) -> Column:
+        n = len(leaf.text)
         lengths = (F.lit(n) <= F.col("max_len") + leaf.ed) & (F.lit(n + leaf.ed) >= F.col("min_len"))
         return lengths & (shared >= n - 1 - (leaf.ed - 1) * self.q)
 
+    def search(self, owned: DataFrame, key: str, p: Predicate) -> DataFrame:
+        """Owners whose tokens satisfy the tree, without stored signatures: only grams of the query leave the tokens."""
+        found = list(dict.fromkeys(leaves(p)))
+        if not found:
+            return owned.select(key).distinct()
+        counts: dict[Has, dict[str, int]] = {}
+        for leaf in found:
+            _no_prefix(leaf)
+            counts[leaf] = {}
+            for g in grams_of(leaf.text, self.q):
+                counts[leaf][g] = counts[leaf].get(g, 0) + 1
+        asked = sorted(set().union(*counts.values()))
+        wanted = F.filter(positional_qgrams(F.col("token"), self.q), lambda x: x["gram"].isin(asked))
+        tokens = owned.select("token").distinct().select("token", F.char_length("token").alias("len"), wanted.alias("grams"))
+        each = owned.join(tokens, "token")
+        lengths = each.groupBy(key).agg(F.min("len").alias("min_len"), F.max("len").alias("max_len"))
+        grams = each.select(key, F.explode("grams").alias("g")).distinct().groupBy(key, F.col("g.gram").alias("gram")).agg(F.count("*").alias("n"))
+
+        def share(leaf: Has) -> Column:
+            if not counts[leaf]:
+                return F.sum(F.lit(0))
+            ref = F.create_map(*(F.lit(x) for pair in counts[leaf].items() for x in pair))
+            return F.sum(F.least("n", F.coalesce(F.element_at(ref, F.col("gram")), F.lit(0))))
+
+        shared = grams.groupBy(key).agg(*(share(leaf).alias(f"leaf{i}") for i, leaf in enumerate(found)))
+        both = lengths.join(shared, key, "left")
+        test = lambda leaf: self._passes(leaf, F.coalesce(f"leaf{found.index(leaf)}", F.lit(0))) if leaf.text else F.lit(False)
+        return both.where(fold(p, test)).select(key)
+
 
 @dataclass(frozen=True)
 class StringSets:

@@ -9,7 +9,7 @@ from .functions import minwise
 from .functions.geo import GeoConstraint, Rect, overlap
 from .functions.qgrams import base_length, overlap_counts, positional_qgrams, qgram_count, qgrams
 from .operators import build, idsets, search, spatial, stats
-from .operators.index import Index, build_index
+from .operators.index import build_index
 from .plans.schemes import Has, MinWise, PositionalQGrams, StringSets, verified
 from .sources.fixtures import PRELUDE, Fixtures
 
@@ -190,8 +190,7 @@ def pqgram_union_len(f: Fixtures) -> DataFrame:
 
 
 def _pqgram_find(f: Fixtures, predicate) -> DataFrame:
-    scheme = PositionalQGrams()
-    return Index(f.items.join(scheme.build(f.item_tokens, "item_id"), "item_id"), scheme).find(GeoConstraint(WIDE), predicate)
+    return search.find(f.items, f.item_tokens, GeoConstraint(WIDE), predicate, PositionalQGrams())
 
 
 @query(_ids(f"{_in(WIDE)} AND item_id IN {_pq(NATION, 0)}"))
