@@ -27,7 +27,7 @@ SHINGLE, PERCENT = 5, 80
 BLOCK, LEAST_WORDS = 25, 20
 #: Rows of a band; the number of bands follows from the recall wanted at the threshold.
 ROWS, RECALL = 2, 0.98
-LANES = 4
+LANES = 8
 SKETCH = [f"s{i}" for i in range(LANES)]
 
 
@@ -159,25 +159,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
 def paragraph_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, start, n_words, class`` of paragraphs that are alike with one of another document.
 
-    Colliding bands are verified against one hub first; what that leaves in different classes is
+    Colliding bands are verified against two hubs first; what that leaves in different classes is
     paired under the sketches' bound and verified too, so no link between different sets is given up.
     """
     table = stash(_paragraph_table(docs, bands_for(percent)), "paragraphs")
     sets = stash(table.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("n").alias("n"), *(F.first(s).alias(s) for s in SKETCH), F.first("keys").alias("keys")), "sets")
-    keyed = sets.select("set_key", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("top")).where("hub < top").select("key", "hub")
+    keyed = sets.select("set_key", F.posexplode("keys").alias("band", "key"))
+    hubs = stash(keyed.groupBy("key").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("top")).where("hub < top"), "hubs")
     listed = stash(keyed.join(hubs, "key"), "bands")
-    facts = sets.select("set_key", "n", *SKETCH)
-    stars = listed.where("set_key <> hub").select(F.col("set_key").alias("b"), F.col("hub").alias("a")).distinct()
+    facts = sets.select("set_key", "n", "keys", *SKETCH)
+    stars = listed.select(F.col("set_key").alias("b"), F.explode(F.array("hub", "top")).alias("a")).where("a <> b")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = stars.join(_named(facts, "a_"), F.col("a") == F.col("a_set_key")).join(_named(facts, "b_"), (F.col("b") == F.col("b_set_key")) & F.expr(_fits(percent)))
     first = stash(stars.select("a", "b"), "first")
     linked = _verified(first, sets, docs, percent)
     parts = components(linked, "a", "b")
-    spread = listed.select("key", "set_key").join(parts, F.col("set_key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "set_key")).select("key", "set_key", "part")
+    spread = listed.select("key", "band", "set_key").join(parts, F.col("set_key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "set_key")).select("key", "band", "set_key", "part")
     spread = stash(spread, "spread")
     many = spread.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    rest = stash(spread.join(many, "key").join(facts, "set_key"), "rest")
-    pairs = _named(rest, "a_").join(_named(rest, "b_"), (F.col("a_key") == F.col("b_key")) & F.expr("a_part < b_part") & F.expr(_fits(percent)))
+    rest = stash(spread.join(stash(many, "many"), "key").join(facts, "set_key"), "rest")
+    # a pair comes from the first band in which it collides
+    earlier = " AND ".join(f"NOT (a_band > {j} AND a_keys[{j}] = b_keys[{j}])" for j in range(bands_for(percent)))
+    pairs = _named(rest, "a_").join(_named(rest, "b_"), (F.col("a_key") == F.col("b_key")) & F.expr("a_part < b_part") & F.expr(_fits(percent)) & F.expr(earlier))
     pairs = pairs.select(F.col("a_set_key").alias("a"), F.col("b_set_key").alias("b")).distinct()
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = stash(pairs.join(done, ["a", "b"], "left_anti"), "second")
@@ -199,7 +202,7 @@ def block_classes(docs: DataFrame) -> DataFrame:
     """
     table = stash(_block_table(docs), "blocks")
     shared = table.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code")
-    hits = stash(table.join(shared, "code"), "hits")
+    hits = stash(table.join(stash(shared, "codes"), "code"), "hits")
     # runs of each document: what overlaps or adjoins; the array holds one document's blocks
     order = F.array_sort(F.collect_list(F.struct("start", "code")))
     by_doc = hits.groupBy("doc_id").agg(order.alias("blocks"))
@@ -243,5 +246,34 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found[0].unionByName(found[1]).withColumn("removed", F.col("doc_id") != F.col("source_doc_id"))
 
 
+def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``docs`` without the removed ones of ``passages``: their words and the space between them are cut from ``text``.
+
+    Rows without a removed passage, null texts and rows without doc_id stay as they are.
+    """
+    cuts = passages.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("cuts"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    joined = rows.join(cuts, rows.id == cuts.doc_id, "left").select("row", "text", "cuts")
+
+    def run(batches):
+        for batch in batches:
+            texts, out = batch.column(1), []
+            for i, cut in enumerate(batch.column(2).to_pylist()):
+                text = texts[i].as_py()
+                if cut and text is not None:
+                    w, raw = Words(texts.slice(i, 1), NOT_SPACE), text.encode()
+                    keep = np.ones(len(raw), bool)
+                    for c in cut:
+                        a, b = c["start"], min(c["start"] + c["n_words"], len(w.start))
+                        if a < b:
+                            keep[w.start[a] : w.end[b - 1]] = False
+                    text = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "kept"])
+
+    schema = joined.select("row").schema.add("kept", "string")
+    return joined.mapInArrow(run, schema).select(F.col("row").withField("text", F.col("kept")).alias("row")).select("row.*")
+
+
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
