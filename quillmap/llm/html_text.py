@@ -28,8 +28,12 @@ BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr address caption summa
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Words of class, id and role that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
 MARKED = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted cookie cookies consent notice notices alert popup modal overlay newsletter subscribe sidebar widget menu nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments disqus respond reply replies share sharing social related recommended login signup complementary contentinfo search toolbar hidden".split()
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted cookie cookies consent notice notices alert popup modal overlay newsletter subscribe sidebar widget menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus respond reply replies share sharing social related recommended login signup complementary contentinfo search toolbar topbar menubar rail toc pagination pager gdpr copyright colophon hidden".split()
 )
+#: Words that tell of a layout around such elements; what bears one is not itself marked.
+LAYOUT = frozenset("has with without no layout".split())
+#: A header of the site and not of an article bears no other words than these.
+SITE_HEADER = frozenset("header site page main global top sticky fixed inner wrap wrapper container".split())
 #: Paths that a host may win with, best first.
 WINNERS = 3
 #: Hosts whose winners are broadcast, about 200 bytes each; more are joined by shuffling.
@@ -49,7 +53,7 @@ def _attributes(text: str) -> tuple[str, bool]:
         key, value = key.lower(), value.strip("\"'").lower()
         words = _LETTERS.findall(value)
         if key in ("class", "id", "role"):
-            marked = marked or not MARKED.isdisjoint(words)
+            marked = marked or (not MARKED.isdisjoint(words) and LAYOUT.isdisjoint(words)) or ("header" in words and SITE_HEADER.issuperset(words))
             if key == "class":
                 name = ".".join(sorted(set(words)))
         elif key == "style":
@@ -62,8 +66,13 @@ def _attributes(text: str) -> tuple[str, bool]:
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(container path, text, characters in links) of each block that may be main text, in page order.
 
-    Character references are decoded, white space within a block is one space, and empty blocks go.
+    Character references are decoded, white space within a block is one space, and empty blocks go. A
+    page of which marks leave nothing is read without regard to them.
     """
+    return _blocks(page, True) or _blocks(page, False)
+
+
+def _blocks(page: str, heed: bool) -> list[tuple[str, str, int]]:
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str, bool]] = [("", "", False)]  # element, path, dropped
     parts: list[str] = []
@@ -110,6 +119,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 link = 0
         elif name not in VOID and not (rest.endswith("/") and name == "svg"):
             label, marked = _attributes(rest)
+            marked = marked and heed
             if tracked or marked:
                 up = stack[-1]
                 inside = any(e[0] in ("article", "main") for e in stack)
