@@ -144,6 +144,11 @@ def test_planted_and_clean_passages(spark):
     assert {r.doc_id for r in found} == {1, 2, 3, 5, 6}
     assert {r.doc_id for r in found if r.removed} == {2, 3, 6}
     assert {r.kind for r in found if r.doc_id == 6} >= {"paragraph"}
+    cut = substring_dedup.remove_passages(df, substring_dedup.repeated_passages(df))
+    left = {r.doc_id: r.text for r in cut.collect()}
+    assert cut.columns == df.columns and all(left[i] == t for i, t in rows if i not in (2, 3, 6))
+    assert left[2].split()[:33] == rows[1][1].split()[:33] and len(left[2].split()) <= 33 + 26
+    assert left[3].split()[-40:] == rows[2][1].split()[-40:] and left[6].split() == rows[5][1].split("\n")[0].split()
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
     odd = {r.doc_id for r in substring_dedup.repeated_passages(odd_documents(spark)).collect()}
     assert {11, 12} <= odd and not odd & {5, 6, 7, 8, 9, 10, 13, 14, None}
