@@ -198,36 +198,36 @@ def paragraph_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def block_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, start, n_words, class, source_doc_id`` of the runs of blocks that another document has too.
 
-    Blocks next to each other in some document are of one class.
+    A block's source is the least document that holds it. Blocks of one source that are next to each
+    other in some document are of one class, so a class's source holds all of its blocks.
     """
     table = stash(_block_table(docs), "blocks")
-    shared = table.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code")
+    shared = table.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code", "low")
     hits = stash(table.join(stash(shared, "codes"), "code"), "hits")
-    # runs of each document: what overlaps or adjoins; the array holds one document's blocks
-    order = F.array_sort(F.collect_list(F.struct("start", "code")))
+    # runs of each document: what overlaps or adjoins and has one source; the array holds one document's blocks
+    order = F.array_sort(F.collect_list(F.struct("start", "code", "low")))
     by_doc = hits.groupBy("doc_id").agg(order.alias("blocks"))
 
     def runs(batches):
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "start", "n_words", "codes")}
+            out = {k: [] for k in ("doc_id", "start", "n_words", "source_doc_id", "codes")}
             for doc_id, blocks in zip(batch.column(0).to_pylist(), batch.column(1)):
                 flat = blocks.values
-                start, code = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                cut = np.flatnonzero(np.concatenate([[True], start[1:] > start[:-1] + BLOCK]))
+                start, code, low = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+                cut = np.flatnonzero(np.concatenate([[True], (start[1:] > start[:-1] + BLOCK) | (low[1:] != low[:-1])]))
                 for a, b in zip(cut, [*cut[1:], len(start)]):
-                    for k, v in zip(out, (doc_id, int(start[a]), int(start[b - 1] - start[a]) + BLOCK, code[a:b])):
+                    for k, v in zip(out, (doc_id, int(start[a]), int(start[b - 1] - start[a]) + BLOCK, int(low[a]), code[a:b])):
                         out[k].append(v)
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
-    found = stash(by_doc.mapInArrow(runs, "doc_id long, start int, n_words int, codes array<long>"), "runs")
+    found = stash(by_doc.mapInArrow(runs, "doc_id long, start int, n_words int, source_doc_id long, codes array<long>"), "runs")
     steps = found.select(F.explode(F.arrays_zip(F.slice("codes", F.lit(1), F.size("codes") - 1).alias("u"), F.slice("codes", F.lit(2), F.size("codes")).alias("v"))).alias("e")).select("e.u", "e.v").distinct()
     parts = components(steps)
-    heads = found.select("doc_id", "start", "n_words", F.col("codes")[0].alias("head")).join(parts, F.col("head") == F.col("node"), "left")
-    runs_of = stash(heads.select("doc_id", "start", "n_words", F.coalesce("component", "head").alias("class")), "classed")
-    sources = stash(runs_of.groupBy("class").agg(F.min("doc_id").alias("source_doc_id")), "sources")
+    heads = found.select("doc_id", "start", "n_words", "source_doc_id", F.col("codes")[0].alias("head")).join(parts, F.col("head") == F.col("node"), "left")
+    runs_of = stash(heads.select("doc_id", "start", "n_words", F.coalesce("component", "head").alias("class"), "source_doc_id"), "classed")
     drop(table, hits, found)
-    return runs_of.join(sources, "class").select("doc_id", "start", "n_words", "class", "source_doc_id")
+    return runs_of
 
 
 def repeated_passages(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,8 +235,9 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     start and n_words count ``[^\\x20\\x09-\\x0D]+`` words of the text with A-Z lower-cased. Kind is
     ``paragraph`` (alike to ``percent``) or ``block`` (the same words, wherever paragraphs end). The
-    document of least doc_id keeps the passages of a class, all others lose them. Texts that share
-    nothing give no row, and so do null and empty texts and rows without doc_id; repetition within
+    document of least doc_id keeps the passages of a class, all others lose them. Every block that is
+    shared is thus kept by the least document that holds it; a removed row can overlap a kept one, whose
+    words stay. Texts that share nothing give no row, and so do null and empty texts and rows without doc_id; repetition within
     one document does not count, and repeated rows are one document. No rows give no rows.
     """
     small_batches(docs.sparkSession)
@@ -249,9 +250,10 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` without the removed ones of ``passages``: their words and the space between them are cut from ``text``.
 
-    Rows without a removed passage, null texts and rows without doc_id stay as they are.
+    Words of blocks that the document keeps for others are not cut, since the others lose them. Rows without a removed passage, null texts and rows without doc_id stay as they are.
     """
-    cuts = passages.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("cuts"))
+    used = passages.where("removed OR kind = 'block'").groupBy("doc_id")
+    cuts = used.agg(F.collect_list(F.struct("start", "n_words", "removed")).alias("cuts"), F.max("removed").alias("any")).where("any").drop("any")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     joined = rows.join(cuts, rows.id == cuts.doc_id, "left").select("row", "text", "cuts")
 
@@ -263,10 +265,10 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
                 if cut and text is not None:
                     w, raw = Words(texts.slice(i, 1), NOT_SPACE), text.encode()
                     keep = np.ones(len(raw), bool)
-                    for c in cut:
+                    for c in sorted(cut, key=lambda c: not c["removed"]):  # what is kept comes last
                         a, b = c["start"], min(c["start"] + c["n_words"], len(w.start))
                         if a < b:
-                            keep[w.start[a] : w.end[b - 1]] = False
+                            keep[w.start[a] : w.end[b - 1]] = not c["removed"]
                     text = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "kept"])

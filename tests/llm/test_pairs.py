@@ -152,3 +152,25 @@ def test_planted_and_clean_passages(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
     odd = {r.doc_id for r in substring_dedup.repeated_passages(odd_documents(spark)).collect()}
     assert {11, 12} <= odd and not odd & {5, 6, 7, 8, 9, 10, 13, 14, None}
+
+
+def test_every_shared_block_stays_somewhere(spark):
+    """The least document holds a part only: what it lacks stays in the least of the others."""
+    rng = np.random.default_rng(12)
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 10**7, n)]
+    long, near = text(160), text(60)
+    # 1 has the first part, 2 and 3 the whole, 4 the last part; a paragraph of 6 is near one of 5, and 7 has the part in which they differ
+    changed = near[:14] + text(3) + near[17:]
+    rows = [(3, text(40) + long + text(30)), (1, text(20) + long[:90] + text(50)), (2, text(35) + long + text(25)), (4, text(45) + long[70:] + text(20))]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(5, " ".join(near) + "\n" + " ".join(text(30))), (6, " ".join(changed) + "\n" + " ".join(text(30))), (7, " ".join(text(30) + changed[:30] + text(30)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(df)
+    left = {r.doc_id: words(r.text) for r in substring_dedup.remove_passages(df, found).collect()}
+    kept = {tuple(w[j : j + substring_dedup.BLOCK]) for w in left.values() for j in range(len(w))}
+    texts = {i: words(t) for i, t in rows}
+    blocks = {}
+    for r in substring_dedup._block_table(df).collect():
+        blocks.setdefault(tuple(texts[r.doc_id][r.start : r.start + substring_dedup.BLOCK]), set()).add(r.doc_id)
+    shared = {b for b, ids in blocks.items() if len(ids) > 1}
+    assert len(shared) > 5 and shared <= kept
+    assert len(left[3]) < 40 + 30 + 60 and {r.source_doc_id for r in found.where("doc_id = 3").collect()} == {1, 2}
