@@ -12,6 +12,8 @@ from quillmap.llm import decontaminate, language_id, mixing, ngram_join, packing
 
 #: A text is rejected whose best language has less than this mean probability, or which has no letters.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Words of a shingle and least Jaccard similarity in percent of near copies.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id from each class of near copies."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,3 +174,14 @@ def test_every_shared_block_stays_somewhere(spark):
     shared = {b for b, ids in blocks.items() if len(ids) > 1}
     assert len(shared) > 5 and shared <= kept
     assert len(left[3]) < 40 + 30 + 60 and {r.source_doc_id for r in found.where("doc_id = 3").collect()} == {1, 2}
+
+
+def test_near_copy_stage_against_brute_force(spark, sf_dir):
+    """Five words, 80 percent: also what 3 words and 90 percent do not link."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
+    assert kept == sorted(i for i, _, c in brute_jaccard(rows, 5, 80) if i == c)
+    assert len(kept) < sum(i == c for i, _, c in brute_jaccard(rows, 3, 90))
