@@ -10,13 +10,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Shipped, small_batches
+from .store import Shipped, broadcast_if, drop, small_batches, stash
 
 #: (verdict, host, path); a rule fits its host and all subdomains where the path starts with its own.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -25,8 +24,8 @@ LABELLED = {
     "block": "adult ads adserver affiliate bet betting bingo cams cashback casino cheap clickbait counterfeit crack cracked cheats dating deals download escort farm fake free gambling hack hentai hookup jackpot keygen loan loans lottery lucky malware naked nude payday phishing pharma pills piracy poker popups porn promo replica roulette scam sex sexy slots spam sponsor sportsbook torrent track tracker tracking viagra virus warez win winner x xxx",
     "allow": "about academy archive article articles author blog book books city college community culture data docs education en de es fr encyclopedia events faq forum garden gov guide health help history home house index journal kitchen law learn library magazine math medical museum music nature news notes page paper people photo physics press project read recipes reference report research review school science society story student study support teach technology theory travel tutorial university weather wiki world writing",
 }
-#: Path words of the corpus that the unigram model keeps, most frequent first.
-VOCABULARY = 50_000
+#: Hosts whose words are broadcast; more are joined by shuffling.
+BROADCAST_HOSTS = 100_000
 _WORD = re.compile(r"[a-z]+")
 #: Web plumbing that says nothing about a site.
 _PLUMBING = frozenset("www m com org net http https html htm php example".split())
@@ -42,7 +41,8 @@ def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
 class UrlModel:
     """Rules, unigram segmentation and naive Bayes."""
 
-    def __init__(self, rules, labelled: dict[str, str], counts: dict[str, int], prior_block: float = 0.2):
+    def __init__(self, rules, labelled: dict[str, str], counts: dict[str, int], prior_block: float = 0.2, total: int | None = None):
+        """total: occurrences of all words, where ``counts`` holds some of them."""
         self.rules: dict[str, list[tuple[str, str]]] = {}
         for verdict, host, path in rules:
             self.rules.setdefault(host, []).append((path, verdict))
@@ -50,7 +50,8 @@ class UrlModel:
         merged = Counter(counts)
         for words in taught.values():
             merged.update({w: 50 for w in words})
-        total = sum(merged.values())
+        self.taught = Counter(merged) - Counter(counts)
+        self.total = total = sum(merged.values()) if total is None else total + sum(self.taught.values())
         self.unigram = {w: math.log(n / total) for w, n in merged.items()}
         self.unknown, self.longest = -math.log(total) - 2.0, max(map(len, merged), default=1)
         words = set().union(*taught.values())
@@ -94,11 +95,41 @@ class UrlModel:
         return ([rest] if rest else []) + words[::-1]
 
 
-def _path_words(urls: DataFrame) -> dict[str, int]:
-    """Counts of path words over all urls, the VOCABULARY most frequent ones."""
+def _path_words(urls: DataFrame) -> DataFrame:
+    """``word, n`` of all path words over all urls."""
     words = urls.select(F.explode(F.regexp_extract_all(F.lower("path"), F.lit("([a-z]{2,})"), 1)).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(VOCABULARY)
-    return {r["word"]: r["count"] for r in top.collect()}
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _host_words(urls: DataFrame, counted: DataFrame, longest: int, shipped: Shipped) -> DataFrame:
+    """``host, host_words`` of each host, its names split under the counts of all path words.
+
+    A host meets only the counts of the substrings of its own names, so no table of words is held anywhere.
+    """
+
+    def pieces(batches):
+        for batch in batches:
+            hosts, found = [], []
+            for h in batch.column(0).to_pylist():
+                own = {""} | {name[i:j] for name in _WORD.findall(h) if name not in _PLUMBING for i in range(len(name)) for j in range(i + 2, min(len(name), i + longest) + 1)}
+                hosts += [h] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.string())], ["host", "word"])
+
+    def split(batches):
+        model = shipped.value
+        base, most = model.unigram, model.longest
+        for batch in batches:
+            out = []
+            for h, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                model.unigram = base | {k["word"]: math.log((k["n"] + model.taught.get(k["word"], 0)) / model.total) for k in known}
+                model.longest = max([most, *(len(k["word"]) for k in known)])
+                out.append([w for name in _WORD.findall(h) if name not in _PLUMBING for w in model.segment(name)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "host_words"])
+
+    parts = urls.select("host").distinct().mapInArrow(pieces, "host string, word string").join(counted, "word", "left")
+    known = parts.groupBy("host").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
+    return known.mapInArrow(split, "host string, host_words array<string>")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
@@ -113,23 +144,28 @@ def judge_urls(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
     small_batches(spark)
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    shipped = Shipped(spark, UrlModel(rules, labelled, _path_words(urls)))
+    counted = stash(_path_words(urls), "path_words")
+    facts = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.length("word")), F.lit(0))).first()
+    shipped = Shipped(spark, UrlModel(rules, labelled, {}, total=facts[0]))
+    by_host = stash(_host_words(urls, counted, facts[1], shipped), "host_words")
+    drop(counted)
+    joined = urls.join(broadcast_if(by_host, BROADCAST_HOSTS), "host", "left").select("page_id", "host", "path", "host_words")
 
     def run(batches):
         model = shipped.value
-        segment = lru_cache(200_000)(model.segment)
         for batch in batches:
             found = []
-            for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for h, p, split in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 rule, verdict = model.rule(h, p)
-                words = [w for name in _WORD.findall(h + " " + p.lower()) if name not in _PLUMBING for w in (segment(name) if len(name) <= 64 else model.segment(name))]
+                # a name in a path is a path word, so it is whole
+                words = split + [name for name in _WORD.findall(p.lower()) if name not in _PLUMBING]
                 odds = model.prior + sum(model.odds.get(w, 0.0) for w in words)
                 found.append((rule, verdict or ("block" if odds > 0 else "allow"), words, odds))
             columns = list(zip(*found)) if found else [[]] * 4
             types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], ["page_id", "host", "path", "rule", "verdict", "words", "block_odds"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, types))], ["page_id", "host", "path", "rule", "verdict", "words", "block_odds"])
 
-    return urls.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, words array<string>, block_odds double")
+    return joined.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, words array<string>, block_odds double")
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:

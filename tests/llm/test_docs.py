@@ -57,6 +57,21 @@ def test_segmentation():
     assert "".join(model.segment("theshopxyz")) == "theshopxyz"
 
 
+def test_every_path_word_counts(spark):
+    """A word stays whole however many more frequent ones there are, and names are split as by the model of all counts."""
+    n = 51_000
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    crawl = spark.range(2 * n).selectExpr("id", f"id % {n} AS w")
+    common = spark.createDataFrame([(i, "q" + letters(i)) for i in range(n)], "w long, word string")
+    urls = crawl.join(common, "w").selectExpr("id AS page_id", "concat('http://h.org/', word) AS url")
+    more = spark.createDataFrame([(-1, "http://middlesex.org/middlesex"), (-2, "http://qaaaaqbaaa.org/middle"), (-3, None)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(urls.unionByName(more)).where("page_id < 0").collect()}
+    assert got[-1].words == ["middlesex", "middlesex"] and got[-1].verdict == "allow"
+    counts = {"q" + letters(i): 2 for i in range(n)} | {"middlesex": 1, "middle": 1}
+    whole = url_filter.UrlModel(url_filter.RULES, url_filter.LABELLED, counts)
+    assert got[-2].words == [*whole.segment("qaaaaqbaaa"), "middle"] == ["qaaaa", "qbaaa", "middle"] and got[-3].words == []
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
