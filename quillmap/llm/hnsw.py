@@ -23,8 +23,11 @@ from .store import drop, small_batches, stash
 LINKS = 12
 #: Vectors of a shard and queries of a task at most, and shards at least.
 SHARD_VECTORS, TASK_QUERIES, LEAST_SHARDS = 200_000, 8_000, 6
-#: Recall over AUDITS sampled vectors of a shard that ends the widening of its beam.
+#: Recall over AUDITS sampled vectors of a shard with FEW_LINKS at most, and over some with more, that ends the widening of its beam.
 AUDIT_RECALL, AUDITS, FIRST_BEAM = 0.995, 256, 24
+FEW_LINKS, MANY_AUDITS = 64, 64
+#: A similarity within this of the threshold may round to either side of it, so it is no truth to audit.
+_ROUNDING = 1e-6
 _BLOCK = 512
 
 
@@ -207,16 +210,37 @@ class Graph:
         return np.concatenate(rows).astype(np.int64), np.concatenate(nodes).astype(np.int64)
 
     def audit(self, least: float) -> float:
-        """Widen the beam until sampled vectors find AUDIT_RECALL of what comparing them with the whole shard finds."""
+        """Widen the beam until sampled vectors find AUDIT_RECALL of what comparing them with the whole shard finds.
+
+        Recall is the mean over vectors that link with others, the lesser of that of vectors with few
+        links and that of those with many, without matches with themselves. The sample grows until
+        AUDITS vectors with few links are in it, or the whole shard has been looked at.
+        """
         n = len(self.x)
-        sample = np.unique(np.linspace(0, n - 1, min(n, AUDITS)).astype(np.int64))
-        truth = sum(int((self.x[sample[i : i + 64]] @ self.x.T >= least).sum()) for i in range(0, len(sample), 64))
+        order, few, many = np.random.default_rng(7).permutation(n), [], []
+        for i in range(0, n, 64):
+            if sum(map(len, few)) >= AUDITS:
+                break
+            part = order[i : i + 64]
+            hit = self.x[part] @ self.x.T >= least + _ROUNDING
+            hit[np.arange(len(part)), part] = False
+            links = hit.sum(axis=1)
+            few.append(np.column_stack([part, links])[(links > 0) & (links <= FEW_LINKS)])
+            if sum(map(len, many)) < MANY_AUDITS:
+                many.append(np.column_stack([part, links])[links > FEW_LINKS])
+        strata = [np.concatenate(x) for x in (few, many) if sum(map(len, x))]
         while True:
-            recall = len(self.near(self.x[sample], least)[0]) / max(1, truth)
+            recall = min((self._recall(x, least) for x in strata), default=1.0)
             if recall >= AUDIT_RECALL or self.beam >= n:
                 return recall
             self.beam *= 2
 
+    def _recall(self, sample: np.ndarray, least: float) -> float:
+        """Mean share of its links that each vector of sample (vector, links) finds."""
+        a, b = self.near(self.x[sample[:, 0]], least)
+        found = np.bincount(a[sample[a, 0] != b], minlength=len(sample))
+        return float(np.minimum(found / sample[:, 1], 1.0).mean())
+
 
 def _classes(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest member of each of n nodes' classes under edges (a, b)."""

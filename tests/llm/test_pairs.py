@@ -99,6 +99,27 @@ def test_graph_recall():
     assert len(g.near(g.x, 0.95)[0]) >= 0.99 * want
 
 
+def test_audit_sees_small_groups_beside_a_hot_one(monkeypatch):
+    """A search that finds the hot group and no other link, or that misses one link in twenty, must not pass."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1600, 24))
+    x = np.concatenate([x, x[:800] + rng.normal(size=(800, 24)) * 0.02, np.repeat(x[:1], 700, 0) + rng.normal(size=(700, 24)) * 0.02])
+    g = hnsw.Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
+    sims, near = g.x @ g.x.T, hnsw.Graph.near
+    hot = sims[0] >= 0.9
+
+    def blind(self, q, least, beam=None):
+        a, b = near(self, q, least, hnsw.FIRST_BEAM)
+        same = (q[a] == self.x[b]).all(axis=1)
+        ok = same | hot[b] | (rng.random(len(b)) < share)
+        return a[ok], b[ok]
+
+    monkeypatch.setattr(hnsw.Graph, "near", blind)
+    for share in (0, 0.95):
+        g.beam = hnsw.FIRST_BEAM
+        assert g.audit(0.95) < hnsw.AUDIT_RECALL and g.beam >= len(x)
+
+
 def test_bands_follow_recall():
     b = substring_dedup.bands_for(80, 2, 0.98)
     assert 1 - (1 - 0.8**2) ** b >= 0.98 > 1 - (1 - 0.8**2) ** (b - 1)
