@@ -25,8 +25,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v")
     now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, last, since = stash(now, "edges"), None, []
-    while (seen := _summary(now)) != last:
+    now, last = stash(now, "edges"), None
+    while (seen := _summary(now)) != last and seen[0]:
         last = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stash(_mins(both).select("u", F.least("u", "m").alias("m")), "least")

@@ -1,34 +1,43 @@
-"""Repeated passages by MinHash over paragraphs and over winnowed blocks within them.
-
-Two kinds of units are looked at. Whole paragraphs have a MinHash signature over word shingles, cut
-into bands; colliding paragraphs are joined and verified by exact Jaccard. Passages that sit inside
-different paragraphs are found through blocks of ``BLOCK`` words: a block is a unit where its hash is
-the least of any ``BLOCK + 1`` consecutive blocks' (a MinHash of that stretch), so that two texts that
-share ``2 * BLOCK`` words in a row always share a unit, wherever paragraphs end. Units that match
-become links, links become classes by connected components, and all but one document of a class lose
-the passage.
+"""Repeated passages by MinHash banding over paragraphs and over overlapping word windows.
+
+Two kinds of units are looked at. Whole paragraphs have a MinHash signature over five-word shingles, cut
+into bands; colliding paragraphs are joined and verified by exact Jaccard. Passages that start or end
+inside paragraphs are found through the windows of ``LEAST_WORDS`` words that begin at every word: a window's
+one band is its MinHash over ``BLOCK``-word shingles, and neighbouring windows with the same least shingle
+are one row. Two equal windows always collide, wherever paragraphs end; colliding shingles are
+equal in 128 bits, and a match is extended word by word to where the two texts stop agreeing.
+
+Matches become links and links become classes by connected components. Every shared shingle is kept by the least
+document that holds it. A document loses only what that keeper has word for word, and never words
+that it keeps for another one, so no repeated passage vanishes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .ngram_join import BROADCAST_IDS, fingerprint, parity_sketch
 from .store import broadcast_if, drop, small_batches, stash
-from .words import NOT_SPACE, Words, gram, mix, slices
+from .words import NOT_SPACE, Words, gram, mix, rolling, slices
 
-#: Words of a shingle, and least Jaccard similarity of paragraphs in percent.
+#: Words of a paragraph's shingle, and least Jaccard similarity of paragraphs in percent.
 SHINGLE, PERCENT = 5, 80
-#: Words of a block, and of the shortest paragraph that counts as a passage.
-BLOCK, LEAST_WORDS = 25, 20
+#: Words of the shortest passage that counts, and so of a window.
+LEAST_WORDS = 50
+#: Words of a window's shingle. A window's chosen shingles are at most LEAST_WORDS - BLOCK + 1 words apart, so
+#: that neighbours overlap by 7 words and any 8 words of a passage lie in one of them.
+BLOCK = 29
+#: Words that a passage can reach beyond its first and last chosen shingle.
+MARGIN = LEAST_WORDS - BLOCK
 #: Rows of a band; the number of bands follows from the recall wanted at the threshold.
-ROWS, RECALL = 2, 0.98
+ROWS, RECALL = 4, 0.98
 LANES = 8
 SKETCH = [f"s{i}" for i in range(LANES)]
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def bands_for(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -41,20 +50,21 @@ _SEEDS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.int64).astype
 
 
 def _paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and end word of each paragraph; paragraphs end at newlines and at rows' ends."""
+    """First and end word of each paragraph of LEAST_WORDS or more; paragraphs end at newlines and at rows' ends."""
     breaks = np.flatnonzero(w.data == 10)
     edges = np.unique(np.concatenate([w.first, np.searchsorted(w.start, breaks)]))
-    return edges[:-1], edges[1:]
+    long = edges[1:] - edges[:-1] >= LEAST_WORDS
+    return edges[:-1][long], edges[1:][long]
 
 
-def _paragraph_rows(w: Words, h: np.ndarray, bands: int):
-    """(first word, words, set key, sketch, band keys) of each paragraph of LEAST_WORDS or more."""
-    first, end = _paragraphs(w)
-    long = end - first >= LEAST_WORDS
-    first, end = first[long], end[long]
-    if not len(first):
-        return first, end, [], np.empty((0, LANES), np.int64), np.empty((0, bands), np.int64)
+def _shingle_sets(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All shingles, and each paragraph's set of them."""
     g = gram(h, SHINGLE)
+    return g, [np.unique(g[a : b - SHINGLE + 1]) for a, b in zip(first, end)]
+
+
+def _band_keys(g: np.ndarray, first: np.ndarray, end: np.ndarray, bands: int) -> np.ndarray:
+    """Band keys of each paragraph."""
     cuts = np.column_stack([first, end - SHINGLE + 1]).ravel()
     if cuts[-1] == len(g):
         cuts = cuts[:-1]
@@ -62,8 +72,7 @@ def _paragraph_rows(w: Words, h: np.ndarray, bands: int):
     for i in range(bands * ROWS):
         low = np.minimum.reduceat(mix(g * _SEEDS[i]), cuts)[::2]
         keys[:, i // ROWS] = mix(keys[:, i // ROWS] * np.uint64(0x9E3779B97F4A7C15) + low + np.uint64(i + 1))
-    sets = [np.unique(g[a : b - SHINGLE + 1]) for a, b in zip(first, end)]
-    return first, end, sets, np.stack([parity_sketch(s, LANES) for s in sets]), keys.view(np.int64)
+    return keys.view(np.int64)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -76,36 +85,39 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def _blocks(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the winnowed blocks of each row."""
-    out, codes = [], []
-    g = gram(h, BLOCK)
+def _blocks(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words and two hashes of the least shingles of each row's windows; of a shorter row, of all its shingles."""
+    out, codes, checks = [], [], []
+    g, other = rolling(h, BLOCK), rolling(mix(h ^ _OTHER), BLOCK)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         n = b - a - BLOCK + 1
         if n <= 0:
             continue
         x = g[a : a + n]
-        low = _sliding_min(x, min(n, BLOCK + 1))
+        low = _sliding_min(x, min(n, MARGIN + 1))
         padded = np.concatenate([np.zeros(n - len(low), np.uint64), low, np.zeros(n - len(low), np.uint64)])
         high = ~_sliding_min(~padded, n - len(low) + 1)
         at = np.flatnonzero(high == x)
         out.append(at + a)
         codes.append(x[at])
-    return (np.concatenate(out), np.concatenate(codes)) if out else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        checks.append(other[a : a + n][at])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    return join(out, np.int64), join(codes, np.uint64), join(checks, np.uint64)
 
 
 def _block_table(docs: DataFrame) -> DataFrame:
-    """doc_id, start, code of all blocks."""
+    """doc_id, start, code, tail of all windows' shingles; code and tail are 128 bits together."""
 
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 w = Words(batch.column(1).slice(lo, hi - lo), NOT_SPACE)
-                at, code = _blocks(w.hashes(), w.first)
+                at, code, check = _blocks(w.hashes(), w.first)
                 row = np.searchsorted(w.first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array((at - w.first[row]).astype(np.int32)), pa.array(code.view(np.int64))], ["doc_id", "start", "code"])
+                columns = [batch.column(0).take(pa.array(row + lo)), pa.array((at - w.first[row]).astype(np.int32)), pa.array(code.view(np.int64)), pa.array(check.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "code", "tail"])
 
-    return docs.mapInArrow(run, "doc_id long, start int, code long")
+    return docs.mapInArrow(run, "doc_id long, start int, code long, tail long")
 
 
 def _paragraph_table(docs: DataFrame, bands: int) -> DataFrame:
@@ -115,7 +127,11 @@ def _paragraph_table(docs: DataFrame, bands: int) -> DataFrame:
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 w = Words(batch.column(1).slice(lo, hi - lo), NOT_SPACE)
-                first, end, sets, sketch, keys = _paragraph_rows(w, w.hashes(), bands)
+                first, end = _paragraphs(w)
+                if not len(first):
+                    continue
+                g, sets = _shingle_sets(w.hashes(), first, end)
+                sketch, keys = np.stack([parity_sketch(s, LANES) for s in sets]), _band_keys(g, first, end, bands)
                 row = np.searchsorted(w.first, first, side="right") - 1
                 offsets = np.arange(len(first) + 1, dtype=np.int32) * bands
                 columns = [batch.column(0).take(pa.array(row + lo)), pa.array((first - w.first[row]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
@@ -142,7 +158,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
-                found = _paragraph_rows(w := Words(batch.column(0).slice(lo, hi - lo), NOT_SPACE), w.hashes(), 1)[2]
+                w = Words(batch.column(0).slice(lo, hi - lo), NOT_SPACE)
+                found = _shingle_sets(w.hashes(), *_paragraphs(w))[1]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_key", "shingles"])
 
     texts = docs.join(broadcast_if(active.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi").select("text")
@@ -157,12 +174,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
 
 
 def paragraph_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, start, n_words, class`` of paragraphs that are alike with one of another document.
+    """``doc_id, start, n_words, class, source_doc_id`` of paragraphs that are alike with one of another document.
 
     Colliding bands are verified against two hubs first; what that leaves in different classes is
     paired under the sketches' bound and verified too, so no link between different sets is given up.
+    A pair meets under its band and size class, of which only neighbours can reach the threshold.
     """
-    table = stash(_paragraph_table(docs, bands_for(percent)), "paragraphs")
+    bands = bands_for(percent)
+    table = stash(_paragraph_table(docs, bands), "paragraphs")
     sets = stash(table.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("n").alias("n"), *(F.first(s).alias(s) for s in SKETCH), F.first("keys").alias("keys")), "sets")
     keyed = sets.select("set_key", F.posexplode("keys").alias("band", "key"))
     hubs = stash(keyed.groupBy("key").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("top")).where("hub < top"), "hubs")
@@ -177,10 +196,12 @@ def paragraph_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spread = listed.select("key", "band", "set_key").join(parts, F.col("set_key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "set_key")).select("key", "band", "set_key", "part")
     spread = stash(spread, "spread")
     many = spread.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    rest = stash(spread.join(stash(many, "many"), "key").join(facts, "set_key"), "rest")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
+    rest = stash(spread.join(stash(many, "many"), "key").join(facts, "set_key").withColumn("size", size_class), "rest")
     # a pair comes from the first band in which it collides
-    earlier = " AND ".join(f"NOT (a_band > {j} AND a_keys[{j}] = b_keys[{j}])" for j in range(bands_for(percent)))
-    pairs = _named(rest, "a_").join(_named(rest, "b_"), (F.col("a_key") == F.col("b_key")) & F.expr("a_part < b_part") & F.expr(_fits(percent)) & F.expr(earlier))
+    earlier = " AND ".join(f"NOT (a_band > {j} AND a_keys[{j}] = b_keys[{j}])" for j in range(bands))
+    near = _named(rest, "b_").withColumn("near", F.explode(F.array(F.col("b_size") - 1, F.col("b_size"), F.col("b_size") + 1)))
+    pairs = _named(rest, "a_").join(near, F.expr("a_key = b_key AND a_size = near AND a_part < b_part") & F.expr(_fits(percent)) & F.expr(earlier))
     pairs = pairs.select(F.col("a_set_key").alias("a"), F.col("b_set_key").alias("b")).distinct()
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = stash(pairs.join(done, ["a", "b"], "left_anti"), "second")
@@ -191,69 +212,174 @@ def paragraph_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = classes.groupBy("class").agg(F.min("doc_id").alias("source_doc_id"), F.max("last").alias("last")).where("source_doc_id < last").select("class", "source_doc_id")
     shared = stash(shared, "shared")
     by_set = stash(classes.join(shared, "class").select("set_key", "class", "source_doc_id"), "by_set")
-    drop(sets, listed, first, linked, spread, rest, second, more, classes, shared)
+    drop(sets, hubs, listed, first, linked, spread, rest, second, more, classes, shared)
     return table.join(by_set, "set_key").select("doc_id", "start", "n_words", "class", "source_doc_id")
 
 
-def block_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, n_words, class, source_doc_id`` of the runs of blocks that another document has too.
-
-    A block's source is the least document that holds it. Blocks of one source that are next to each
-    other in some document are of one class, so a class's source holds all of its blocks.
+_RUN = "doc_id long, start int, n_words int, source_doc_id long, source_start int, codes array<long>"
+
+
+def _runs(batches):
+    """A document's shared shingles, joined where neighbours overlap and have one source and one shift against it."""
+    for batch in batches:
+        out = {k: [] for k in ("doc_id", "start", "n_words", "source_doc_id", "source_start", "codes")}
+        for doc_id, blocks in zip(batch.column(0).to_pylist(), batch.column(1)):
+            start, code, low, there = (blocks.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cut = np.flatnonzero(np.concatenate([[True], (start[1:] >= start[:-1] + BLOCK) | (low[1:] != low[:-1]) | (start[1:] - there[1:] != start[:-1] - there[:-1])]))
+            for a, b in zip(cut, [*cut[1:], len(start)]):
+                for k, v in zip(out, (doc_id, int(start[a]), int(start[b - 1] - start[a]) + BLOCK, int(low[a]), int(there[a]), code[a:b])):
+                    out[k].append(v)
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+
+
+def _surroundings(batches):
+    """MARGIN words to the left and right of each of a document's places, which are in front of a word or at the text's end."""
+    for batch in batches:
+        out = {k: [] for k in ("doc_id", "place", "left", "right")}
+        for i, (doc_id, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            w = Words(batch.column(1).slice(i, 1), NOT_SPACE)
+            for at in places:
+                left, right = ([w.word(j) for j in range(max(0, a), min(len(w.start), b))] for a, b in ((at - MARGIN, at), (at, at + MARGIN)))
+                for k, v in zip(out, (doc_id, at, b" ".join(left).decode(), b" ".join(right).decode())):
+                    out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.string(), pa.string()))], list(out))
+
+
+def _agreeing(w: Words, at: int, step: int, words: list[str]) -> int:
+    """How many of ``words``, in order, the text has from word ``at`` on in steps of 1 or -1."""
+    n = 0
+    while n < len(words) and 0 <= at < len(w.start) and w.word(at) == words[n].encode():
+        n, at = n + 1, at + step
+    return n
+
+
+_SPAN = "doc_id long, start long, n_words long, class long, source_doc_id long, source_start long, before string, after string"
+
+
+def _extended(batches):
+    """Each document's runs to where the texts stop agreeing, and the words after that which a window could still hold."""
+    kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_words": pa.int64(), "class": pa.int64(), "source_doc_id": pa.int64(), "source_start": pa.int64(), "before": pa.string(), "after": pa.string()}
+    for batch in batches:
+        out = {k: [] for k in kinds}
+        for i, (doc_id, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            w = Words(batch.column(1).slice(i, 1), NOT_SPACE)
+            for r in runs:
+                a, b = r["start"], r["start"] + r["n_words"]
+                if b > len(w.start):
+                    continue  # of another text under the same id
+                left = _agreeing(w, a - 1, -1, r["left"].split(" ")[::-1] if r["left"] else [])
+                right = _agreeing(w, b, 1, r["right"].split(" ") if r["right"] else [])
+                before = b" ".join(w.word(j) for j in range(a - left - 1, max(-1, a - MARGIN - 1), -1))
+                after = b" ".join(w.word(j) for j in range(b + right, min(len(w.start), b + MARGIN)))
+                for k, v in zip(out, (doc_id, a - left, b - a + left + right, r["class"], r["source_doc_id"], r["source_start"] - left, before.decode(), after.decode())):
+                    out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds.values())], list(out))
+
+
+def _tails(spans: DataFrame) -> DataFrame:
+    """Rows like ``spans`` of what documents share beyond the point where their common source stops agreeing.
+
+    Documents that leave one source at one point are compared by the words that follow there, in reading
+    order to the right and against it to the left; each takes its longest run of them that a lesser one has.
+    A row begins BLOCK words before that point, where all of them agree with the source.
+    """
+    key = ["source_doc_id", "stop", "right"]
+    end, there = F.col("start") + F.col("n_words"), F.col("source_start") + F.col("n_words")
+    right = spans.select("doc_id", "class", "source_doc_id", there.alias("stop"), F.lit(True).alias("right"), end.alias("at"), F.col("after").alias("more"))
+    left = spans.select("doc_id", "class", "source_doc_id", F.col("source_start").alias("stop"), F.lit(False).alias("right"), F.col("start").alias("at"), F.col("before").alias("more"))
+    ends = right.unionByName(left).where("more <> ''").withColumn("first", F.substring_index("more", " ", 1))
+    met = ends.groupBy(*key, "first").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*key, "first")
+    ends = ends.join(met, [*key, "first"]).withColumn("words", F.split("more", " "))
+    prefixes = ends.select(*key, "doc_id", "class", "at", F.posexplode(F.expr("transform(sequence(1, size(words)), n -> array_join(slice(words, 1, n), ' '))")).alias("n", "prefix"))
+    prefixes = stash(prefixes.withColumn("n", F.col("n") + 1), "prefixes")
+    least = prefixes.groupBy(*key, "prefix").agg(F.min(F.struct("doc_id", "at")).alias("low"))
+    longest = prefixes.join(least, [*key, "prefix"]).where("low.doc_id < doc_id").groupBy(*key, "doc_id", "class", "at").agg(F.max(F.struct("n", "low")).alias("x"))
+    back = F.when(F.col("right"), F.lit(BLOCK)).otherwise(F.col("x.n"))
+    tails = longest.select(
+        "doc_id", (F.col("at") - back).alias("start"), (F.col("x.n") + BLOCK).cast("long").alias("n_words"), "class",
+        F.col("x.low.doc_id").alias("source_doc_id"), (F.col("x.low.at") - back).alias("source_start"),
+    )
+    tails = stash(tails, "tails")
+    drop(prefixes)
+    return tails
+
+
+def window_matches(docs: DataFrame) -> DataFrame:
+    """``doc_id, start, n_words, class, source_doc_id, source_start``: what a document has word for word in a lesser one.
+
+    Whatever LEAST_WORDS words a lesser document has are under these rows to the last word. The parts of a
+    stretch can have different sources: a part's source is the least document with its shingles, or
+    beyond the point where that stops agreeing, the least that goes on alike. Parts are of one class
+    where shingles follow on each other in some document.
     """
     table = stash(_block_table(docs), "blocks")
-    shared = table.groupBy("code").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code", "low")
-    hits = stash(table.join(stash(shared, "codes"), "code"), "hits")
-    # runs of each document: what overlaps or adjoins and has one source; the array holds one document's blocks
-    order = F.array_sort(F.collect_list(F.struct("start", "code", "low")))
-    by_doc = hits.groupBy("doc_id").agg(order.alias("blocks"))
-
-    def runs(batches):
-        for batch in batches:
-            out = {k: [] for k in ("doc_id", "start", "n_words", "source_doc_id", "codes")}
-            for doc_id, blocks in zip(batch.column(0).to_pylist(), batch.column(1)):
-                flat = blocks.values
-                start, code, low = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-                cut = np.flatnonzero(np.concatenate([[True], (start[1:] > start[:-1] + BLOCK) | (low[1:] != low[:-1])]))
-                for a, b in zip(cut, [*cut[1:], len(start)]):
-                    for k, v in zip(out, (doc_id, int(start[a]), int(start[b - 1] - start[a]) + BLOCK, int(low[a]), code[a:b])):
-                        out[k].append(v)
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
-
-    found = stash(by_doc.mapInArrow(runs, "doc_id long, start int, n_words int, source_doc_id long, codes array<long>"), "runs")
+    shared = table.groupBy("code", "tail").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("code", "tail", "low")
+    hits = stash(table.join(stash(shared, "codes"), ["code", "tail"]), "hits")
+    drop(table)
+    heads = stash(hits.where("doc_id = low").groupBy("code", "tail").agg(F.min("start").alias("there")), "heads")
+    order = F.array_sort(F.collect_set(F.struct("start", "code", "low", "there")))  # one document's
+    # a source's other places for a shingle are looked at too: what follows there can be what a document has
+    by_doc = hits.join(heads, ["code", "tail"]).where("doc_id <> low OR start <> there").groupBy("doc_id").agg(order.alias("blocks"))
+    found = stash(by_doc.mapInArrow(_runs, _RUN), "runs")
+    drop(hits, heads)
     steps = found.select(F.explode(F.arrays_zip(F.slice("codes", F.lit(1), F.size("codes") - 1).alias("u"), F.slice("codes", F.lit(2), F.size("codes")).alias("v"))).alias("e")).select("e.u", "e.v").distinct()
     parts = components(steps)
-    heads = found.select("doc_id", "start", "n_words", "source_doc_id", F.col("codes")[0].alias("head")).join(parts, F.col("head") == F.col("node"), "left")
-    runs_of = stash(heads.select("doc_id", "start", "n_words", F.coalesce("component", "head").alias("class"), "source_doc_id"), "classed")
-    drop(table, hits, found)
-    return runs_of
+    runs = found.withColumn("head", F.col("codes")[0]).drop("codes").join(parts, F.col("head") == F.col("node"), "left")
+    runs = stash(runs.select("doc_id", "start", "n_words", "source_doc_id", "source_start", F.coalesce("component", "head").alias("class")), "classed")
+    drop(found)
+    # the words around the source's first and last shingle, of each place once
+    end = (F.col("source_start") + F.col("n_words")).alias("place")
+    places = runs.select(F.col("source_doc_id").alias("doc_id"), F.col("source_start").alias("place")).unionByName(runs.select(F.col("source_doc_id").alias("doc_id"), end)).distinct()
+    places = broadcast_if(stash(places.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "places"), BROADCAST_IDS // 16)
+    around = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_surroundings, "doc_id long, place int, left string, right string")
+    around = stash(around.dropDuplicates(["doc_id", "place"]), "around")
+    left = around.select(F.col("doc_id").alias("source_doc_id"), F.col("place").alias("source_start"), "left")
+    right = around.select(F.col("doc_id").alias("right_doc_id"), F.col("place").alias("right_place"), "right")
+    joined = runs.join(left, ["source_doc_id", "source_start"])
+    joined = joined.join(right, (F.col("source_doc_id") == F.col("right_doc_id")) & (F.col("source_start") + F.col("n_words") == F.col("right_place")))
+    joined = joined.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words", "class", "source_doc_id", "source_start", "left", "right")).alias("runs"))
+    spans = stash(docs.join(joined, "doc_id").select("doc_id", "text", "runs").mapInArrow(_extended, _SPAN).distinct(), "spans")
+    drop(runs, places, around)
+    tails = _tails(spans)
+    # rows of one document that overlap or adjoin are a stretch
+    order = Window.partitionBy("doc_id").orderBy("start", "n_words", "source_doc_id", "source_start")
+    end = F.max(F.col("start") + F.col("n_words"))
+    rows = spans.where("doc_id <> source_doc_id").drop("before", "after").unionByName(tails).withColumn("new", (F.col("start") > F.coalesce(end.over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    rows = rows.withColumn("stretch", F.sum("new").over(order))
+    whole = Window.partitionBy("doc_id", "stretch")
+    rows = rows.withColumn("size", end.over(whole) - F.min("start").over(whole)).where(F.col("size") >= LEAST_WORDS)
+    matches = stash(rows.drop("new", "stretch", "size"), "matches")
+    drop(spans, tails)
+    return matches
 
 
 def repeated_passages(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, kind, start, n_words, class, source_doc_id, removed``: passages that documents of ``docs`` share.
+    """``doc_id, kind, start, n_words, class, source_doc_id, source_start, removed``: passages that documents of ``docs`` share.
 
     start and n_words count ``[^\\x20\\x09-\\x0D]+`` words of the text with A-Z lower-cased. Kind is
-    ``paragraph`` (alike to ``percent``) or ``block`` (the same words, wherever paragraphs end). The
-    document of least doc_id keeps the passages of a class, all others lose them. Every block that is
-    shared is thus kept by the least document that holds it; a removed row can overlap a kept one, whose
-    words stay. Texts that share nothing give no row, and so do null and empty texts and rows without doc_id; repetition within
-    one document does not count, and repeated rows are one document. No rows give no rows.
+    ``paragraph`` (LEAST_WORDS or more, alike to ``percent``; no source_start) or ``window`` (the same words as the
+    source from its source_start on, wherever paragraphs end). A removed row goes, for its source has or resembles it; other
+    rows are what a source keeps for them, whole, even where it overlaps a removed row of its own.
+    The least doc_id keeps a class of paragraphs, and each shingle of a window is kept by the least that holds it.
+    Texts are looked at whole, however long. Texts that share nothing give no row, and so do null and empty texts and rows without doc_id; repetition within
+    one document does not count, and rows that repeat are one document. Ties do not occur, since ids differ. No rows give no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    kinds = (("paragraph", paragraph_classes(docs, percent)), ("block", block_classes(docs)))
-    found = [df.select("doc_id", F.lit(kind).alias("kind"), F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "class", "source_doc_id") for kind, df in kinds]
-    return found[0].unionByName(found[1]).withColumn("removed", F.col("doc_id") != F.col("source_doc_id"))
+    alike = paragraph_classes(docs, percent).select("doc_id", F.lit("paragraph").alias("kind"), *(F.col(c).cast("long").alias(c) for c in ("start", "n_words", "class", "source_doc_id")), F.lit(None).cast("long").alias("source_start"))
+    same = window_matches(docs)
+    kept = same.select(F.col("source_doc_id").alias("doc_id"), F.col("source_start").alias("start"), "n_words", "class", "source_doc_id", "source_start").distinct()
+    found = alike.unionByName(same.unionByName(kept).withColumn("kind", F.lit("window")).select(*alike.columns))
+    return found.withColumn("removed", F.col("doc_id") != F.col("source_doc_id"))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` without the removed ones of ``passages``: their words and the space between them are cut from ``text``.
 
-    Words of blocks that the document keeps for others are not cut, since the others lose them. Rows without a removed passage, null texts and rows without doc_id stay as they are.
+    Words of rows that the document keeps for others are not cut, since the others lose them. Rows without a removed passage, null texts and rows without doc_id stay as they are.
     """
-    used = passages.where("removed OR kind = 'block'").groupBy("doc_id")
-    cuts = used.agg(F.collect_list(F.struct("start", "n_words", "removed")).alias("cuts"), F.max("removed").alias("any")).where("any").drop("any")
+    cuts = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words", "removed")).alias("cuts"), F.max("removed").alias("any")).where("any").drop("any")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     joined = rows.join(cuts, rows.id == cuts.doc_id, "left").select("row", "text", "cuts")
 

@@ -112,6 +112,17 @@ def gram(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of ``k`` consecutive words from each position, ignoring row ends; its cost does not depend on ``k``."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    up, down = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * down[:n])
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each row; with fewer than k words the whole sequence."""
     for lo, hi in slices(texts):

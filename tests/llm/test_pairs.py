@@ -1,9 +1,9 @@
-"""n-gram join, embeddings and repeated passages against brute force."""
+"""n-gram join and embeddings against brute force."""
 
 import numpy as np
 import pytest
 
-from quillmap.llm import hnsw, ngram_join, substring_dedup
+from quillmap.llm import hnsw, ngram_join
 
 from .helpers import LONG, classes, no_documents, odd_documents, shingles, words
 
@@ -120,83 +120,6 @@ def test_audit_sees_small_groups_beside_a_hot_one(monkeypatch):
         assert g.audit(0.95) < hnsw.AUDIT_RECALL and g.beam >= len(x)
 
 
-def test_bands_follow_recall():
-    b = substring_dedup.bands_for(80, 2, 0.98)
-    assert 1 - (1 - 0.8**2) ** b >= 0.98 > 1 - (1 - 0.8**2) ** (b - 1)
-
-
-def test_passages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = substring_dedup.repeated_passages(docs).collect()
-    texts = {r.doc_id: words(r.text) for r in docs.collect()}
-    at = {}
-    for i, w in texts.items():
-        for j in range(len(w) - 49):
-            at.setdefault(tuple(w[j : j + 50]), []).append((i, j))
-    spans = {}
-    for r in found:
-        spans.setdefault(r.doc_id, []).append((r.start, r.start + r.n_words))
-        assert r.removed == (r.doc_id != r.source_doc_id)
-    for places in at.values():
-        if len({i for i, _ in places}) > 1:
-            for i, j in places:
-                assert any(a < j + 50 and j < b for a, b in spans[i])
-    short = {}
-    for i, w in texts.items():
-        for j in range(len(w) - 24):
-            short.setdefault(tuple(w[j : j + 25]), set()).add(i)
-    for r in found:
-        if r.kind == "block":
-            w = texts[r.doc_id][r.start : r.start + r.n_words]
-            assert all(len(short[tuple(w[j : j + 25])]) > 1 for j in (0, len(w) - 25))
-
-
-def test_planted_and_clean_passages(spark):
-    rng = np.random.default_rng(9)
-    text = lambda n, tag: [f"{tag}{x}" for x in rng.integers(0, 10**7, n)]
-    passage, near = text(51, "p"), text(60, "q")
-    changed = list(near)
-    changed[30] = "other"
-    rows = [(1, text(80, "a") + passage + text(70, "b")), (2, text(33, "c") + passage), (3, passage + text(40, "d")), (4, text(300, "e"))]
-    rows = [(i, " ".join(w)) for i, w in rows] + [(5, " ".join(near) + "\n" + " ".join(text(30, "f"))), (6, " ".join(text(30, "g")) + "\n" + " ".join(changed)), (7, None), (8, ""), (None, " ".join(passage))]
-    rows += [(9, " ".join(text(60, "h") + ["same"] * 0 + passage[:20]))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = substring_dedup.repeated_passages(df).collect()
-    assert {r.doc_id for r in found} == {1, 2, 3, 5, 6}
-    assert {r.doc_id for r in found if r.removed} == {2, 3, 6}
-    assert {r.kind for r in found if r.doc_id == 6} >= {"paragraph"}
-    cut = substring_dedup.remove_passages(df, substring_dedup.repeated_passages(df))
-    left = {r.doc_id: r.text for r in cut.collect()}
-    assert cut.columns == df.columns and all(left[i] == t for i, t in rows if i not in (2, 3, 6))
-    assert left[2].split()[:33] == rows[1][1].split()[:33] and len(left[2].split()) <= 33 + 26
-    assert left[3].split()[-40:] == rows[2][1].split()[-40:] and left[6].split() == rows[5][1].split("\n")[0].split()
-    assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
-    odd = {r.doc_id for r in substring_dedup.repeated_passages(odd_documents(spark)).collect()}
-    assert {11, 12} <= odd and not odd & {5, 6, 7, 8, 9, 10, 13, 14, None}
-
-
-def test_every_shared_block_stays_somewhere(spark):
-    """The least document holds a part only: what it lacks stays in the least of the others."""
-    rng = np.random.default_rng(12)
-    text = lambda n: [f"v{x}" for x in rng.integers(0, 10**7, n)]
-    long, near = text(160), text(60)
-    # 1 has the first part, 2 and 3 the whole, 4 the last part; a paragraph of 6 is near one of 5, and 7 has the part in which they differ
-    changed = near[:14] + text(3) + near[17:]
-    rows = [(3, text(40) + long + text(30)), (1, text(20) + long[:90] + text(50)), (2, text(35) + long + text(25)), (4, text(45) + long[70:] + text(20))]
-    rows = [(i, " ".join(w)) for i, w in rows] + [(5, " ".join(near) + "\n" + " ".join(text(30))), (6, " ".join(changed) + "\n" + " ".join(text(30))), (7, " ".join(text(30) + changed[:30] + text(30)))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = substring_dedup.repeated_passages(df)
-    left = {r.doc_id: words(r.text) for r in substring_dedup.remove_passages(df, found).collect()}
-    kept = {tuple(w[j : j + substring_dedup.BLOCK]) for w in left.values() for j in range(len(w))}
-    texts = {i: words(t) for i, t in rows}
-    blocks = {}
-    for r in substring_dedup._block_table(df).collect():
-        blocks.setdefault(tuple(texts[r.doc_id][r.start : r.start + substring_dedup.BLOCK]), set()).add(r.doc_id)
-    shared = {b for b, ids in blocks.items() if len(ids) > 1}
-    assert len(shared) > 5 and shared <= kept
-    assert len(left[3]) < 40 + 30 + 60 and {r.source_doc_id for r in found.where("doc_id = 3").collect()} == {1, 2}
-
-
 def test_near_copy_stage_against_brute_force(spark, sf_dir):
     """Five words, 80 percent: also what 3 words and 90 percent do not link."""
     import corpus_pipeline
