@@ -9,68 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmap.llm import decontaminate, html_text, language_id, masked_lm, mixing, packing, url_filter
+from quillmap.llm import decontaminate, html_text, language_id, masked_lm, mixing, packing
 from quillmap.llm.queries import QUERIES
 
 from .helpers import alnum_words, no_documents, odd_documents, words
 
-# URL filter
-
-
-def split_url(url):
-    if url is None or "://" not in url:
-        return "", ""
-    rest = url.split("://", 1)[1]
-    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
-    host, rest = rest[:cut], rest[cut:]
-    end = min([rest.find(c) for c in "?#" if c in rest], default=len(rest))
-    return "".join(c.lower() if c.isascii() else c for c in host), rest[:end]
-
-
-URLS = [
-    "http://WWW.Example.com/en/x?y=1", "https://example.com/en/", "http://a.b.example.com/en/1#z", "http://notexample.com/en/", "http://net/es/", "http://x.NET/fr/a", "http://x.net/ES/a", "http://x.org", "http://x.org?q=/a",
-    "http://a.com#f", "x.com/en", "", None, "://h/p", "a://b://c/d", "http:///p", "http://com/", "http://com", "http://É.com/ü", "\nhttp://new.com/line\nbreak", "http://free-casino.org/win", "http://essex-history.org/max/",
-]
-
-
-def test_urls(spark):
-    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
-    got = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
-    assert len(got) == len(URLS)
-    for i, u in enumerate(URLS):
-        host, path = split_url(u)
-        assert (got[i].host, got[i].path) == (host, path), u
-        fit = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        if fit:
-            assert (got[i].rule, got[i].verdict) == max(fit)[1:]
-        else:
-            assert got[i].rule is None
-    assert got[20].verdict == "block" and got[21].verdict == "allow" and got[12].verdict == "allow"
-    assert url_filter.judge_urls(df.limit(0)).count() == 0
-
-
-def test_segmentation():
-    model = url_filter.UrlModel(url_filter.RULES, url_filter.LABELLED, {"shop": 90, "the": 400})
-    assert model.segment("freecasinonews") == ["free", "casino", "news"]
-    assert model.segment("qqqcasinozz") == ["qqq", "casino", "zz"]
-    assert model.segment("x") == ["x"] and model.segment("") == []
-    assert "".join(model.segment("theshopxyz")) == "theshopxyz"
-
-
-def test_every_path_word_counts(spark):
-    """A word stays whole however many more frequent ones there are, and names are split as by the model of all counts."""
-    n = 51_000
-    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
-    crawl = spark.range(2 * n).selectExpr("id", f"id % {n} AS w")
-    common = spark.createDataFrame([(i, "q" + letters(i)) for i in range(n)], "w long, word string")
-    urls = crawl.join(common, "w").selectExpr("id AS page_id", "concat('http://h.org/', word) AS url")
-    more = spark.createDataFrame([(-1, "http://middlesex.org/middlesex"), (-2, "http://qaaaaqbaaa.org/middle"), (-3, None)], "page_id long, url string")
-    got = {r.page_id: r for r in url_filter.judge_urls(urls.unionByName(more)).where("page_id < 0").collect()}
-    assert got[-1].words == ["middlesex", "middlesex"] and got[-1].verdict == "allow"
-    counts = {"q" + letters(i): 2 for i in range(n)} | {"middlesex": 1, "middle": 1}
-    whole = url_filter.UrlModel(url_filter.RULES, url_filter.LABELLED, counts)
-    assert got[-2].words == [*whole.segment("qaaaaqbaaa"), "middle"] == ["qaaaa", "qbaaa", "middle"] and got[-3].words == []
-
 
 # HTML
 
