@@ -9,45 +9,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmap.llm import decontaminate, html_text, language_id, masked_lm, mixing, packing
+from quillmap.llm import decontaminate, language_id, masked_lm, mixing, packing
 from quillmap.llm.queries import QUERIES
 
 from .helpers import alnum_words, no_documents, odd_documents, words
 
 
-# HTML
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
-<div id="cookie-notice">We use cookies</div><header>Site</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
-<div class="content main-7"><article><h1>Head&amp;line</h1><p>First &lt;b&gt; para<b>graph</b>,
- with&nbsp;space.<br>Second line<!-- no --><div class="ad">Buy</div><p>Third <a href="x">link</a> text that goes on for a while.
-<form><input><button>Send</button></form><aside>Side</aside></article>
-<div class="comments"><p>First! A reader writes something long about it all, on and on and on.</p></div></div><footer>&copy; F</footer>"""
-WANT = "Head&line First <b> paragraph, with space. Second line Third link text that goes on for a while."
-
-
-def test_page_by_hand():
-    text, path = html_text.main_text(PAGE)
-    assert text == WANT and path.endswith(">article")
-    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ("", None)
-    assert html_text.main_text("plain words")[0] == "plain words"
-    assert html_text.main_text("<div><p>a < b & c <p>d</div><!-- open")[0] == "a < b & c d"
-    assert html_text.main_text('<p title="a>b">t</p><p class=\'x>y\'>u')[0] == "t u"
-    assert html_text.main_text("<body>" + "<div>" * 3000 + "deep" + "</div>" * 10)[0] == "deep"
-
-
-def test_host_consensus(spark):
-    """A page whose own best container is a long sidebar follows its host's vote."""
-    good = "<body><div class='story9'><p>%s</p></div><div class='extra'><p>%s</p></div></body>"
-    rows = [(i, f"http://h.org/{i}", good % ("story words " * 20, "more")) for i in range(5)] + [(9, "http://h.org/9", good % ("short story", "noise " * 90)), (10, None, good % ("a", "b b")), (11, "http://h.org/x", None), (12, "http://other.org/", "<p>alone</p>")]
-    df = spark.createDataFrame([(*r, "p") for r in rows], "page_id long, url string, html string, path string")
-    got = {r.page_id: r for r in html_text.extract(df).collect()}
-    assert got[9].text == "short story" and got[9].path == ">body>div.story" and got[9].n_chars == 11
-    assert got[10].text == "b b" and got[12].text == "alone"
-    assert (got[11].text, got[11].n_chars, got[11].path) == ("", 0, None)
-    assert html_text.extract(df.limit(0)).count() == 0
-
-
 # decontamination
 
 
