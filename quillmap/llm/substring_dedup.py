@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -305,6 +305,44 @@ def _tails(spans: DataFrame) -> DataFrame:
     return tails
 
 
+def _cover(batches):
+    """Of each document's rows those in stretches of LEAST_WORDS or more, and of these as few as cover the same words.
+
+    Rows that overlap or adjoin are a stretch. Each row taken is the one that goes farthest of those that
+    share 7 words with what is covered, so that any 8 words of a stretch lie in one row.
+    """
+    for batch in batches:
+        doc_ids, taken = batch.column(0).to_pylist(), []
+        flat = batch.column(1).flatten()
+        start, size = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        ends, offsets = (start + size).tolist(), batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
+        starts, owner = start.tolist(), []
+        for i in range(len(doc_ids)):
+            at, stop = int(offsets[i]), int(offsets[i + 1])
+            while at < stop:
+                chosen, first, covered = [at], starts[at], ends[at]
+                at += 1
+                while at < stop and starts[at] <= covered:
+                    best, reach, j = -1, covered, at
+                    while j < stop and starts[j] <= covered - 7:
+                        if ends[j] > reach:
+                            best, reach = j, ends[j]
+                        j += 1
+                    if best < 0 and j < stop and starts[j] <= covered:  # rows that share fewer words
+                        best, reach, j = j, max(covered, ends[j]), j + 1
+                    at = j
+                    if best >= 0:
+                        if starts[best] == first and len(chosen) == 1:
+                            chosen = []
+                        chosen.append(best)
+                        covered = reach
+                if covered - first >= LEAST_WORDS:
+                    taken += chosen
+                    owner += [doc_ids[i]] * len(chosen)
+        rows = flat.take(pa.array(taken, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *(rows.field(k) for k in range(5))], ["doc_id", "start", "n_words", "source_doc_id", "source_start", "class"])
+
+
 def window_matches(docs: DataFrame) -> DataFrame:
     """``doc_id, start, n_words, class, source_doc_id, source_start``: what a document has word for word in a lesser one.
 
@@ -342,14 +380,9 @@ def window_matches(docs: DataFrame) -> DataFrame:
     spans = stash(docs.join(joined, "doc_id").select("doc_id", "text", "runs").mapInArrow(_extended, _SPAN).distinct(), "spans")
     drop(runs, places, around)
     tails = _tails(spans)
-    # rows of one document that overlap or adjoin are a stretch
-    order = Window.partitionBy("doc_id").orderBy("start", "n_words", "source_doc_id", "source_start")
-    end = F.max(F.col("start") + F.col("n_words"))
-    rows = spans.where("doc_id <> source_doc_id").drop("before", "after").unionByName(tails).withColumn("new", (F.col("start") > F.coalesce(end.over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    rows = rows.withColumn("stretch", F.sum("new").over(order))
-    whole = Window.partitionBy("doc_id", "stretch")
-    rows = rows.withColumn("size", end.over(whole) - F.min("start").over(whole)).where(F.col("size") >= LEAST_WORDS)
-    matches = stash(rows.drop("new", "stretch", "size"), "matches")
+    rows = spans.where("doc_id <> source_doc_id").drop("before", "after").unionByName(tails)
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "n_words", "source_doc_id", "source_start", "class"))).alias("rows"))  # one document's
+    matches = stash(rows.mapInArrow(_cover, "doc_id long, start long, n_words long, source_doc_id long, source_start long, class long"), "matches")
     drop(spans, tails)
     return matches
 

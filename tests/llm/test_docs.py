@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmap.llm import decontaminate, language_id, masked_lm, mixing, packing
+from quillmap.llm import decontaminate, language_id, mixing, packing
 from quillmap.llm.queries import QUERIES
 
 from .helpers import alnum_words, no_documents, odd_documents, words
@@ -209,38 +209,6 @@ def test_long_texts_encode_alike():
 # language model
 
 
-def test_window_counts_and_scores(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    known = masked_lm.vocabulary_of(docs)
-    top = Counter(w for r in docs.collect() for w in alnum_words(r.text))
-    assert len(known) == masked_lm.TOKENS - masked_lm.CLASSES - 1
-    counts = masked_lm.window_counts(docs, known)
-    assert counts.sum() == sum(top.values())
-    n_docs = sum(bool(alnum_words(r.text)) for r in docs.collect())
-    assert counts[0].sum() == counts[:, :, 0].sum() == n_docs
-    assert sorted(counts.sum((0, 2)), reverse=True)[1] >= top.most_common(3)[-1][1]
-    net = masked_lm.WindowNetwork()
-    losses = net.fit(counts, steps=60)
-    assert losses[-1] < losses[0] - 0.05
-    logs = net.log_probabilities()[0]
-    assert np.allclose(np.exp(logs).sum(2), 1, atol=1e-4)
-    table = np.ascontiguousarray(logs.transpose(0, 2, 1)).ravel()
-    total = sum(r.log_likelihood for r in masked_lm.score(docs, known, table).collect())
-    assert abs(total - (counts * logs.transpose(0, 2, 1)).sum()) < 1e-3 * abs(total)
-
-
-def test_scores_of_odd_rows(spark):
-    docs = odd_documents(spark)
-    model = masked_lm.train(docs)
-    rows = masked_lm.score(docs, *model).collect()
-    assert len(rows) == docs.count()
-    for r in rows:
-        assert (r.mean_log_likelihood is None) == (r.n_tokens == 0) and r.log_likelihood <= 0
-    same = [r.log_likelihood for r in rows if r.doc_id in (1, 2)]
-    assert len(set(same)) == 1
-    assert masked_lm.score(no_documents(spark), *masked_lm.train(no_documents(spark))).count() == 0
-
-
 # registry and pipeline
 
 
