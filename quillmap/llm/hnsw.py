@@ -1,10 +1,13 @@
 """Embedding near-duplicates with one hierarchical navigable small-world graph per shard.
 
-Exact copies collapse first. Every shard's graph is built in one task of bounded size and audited
-there: sampled vectors of the shard are compared with all of it, and the beam is widened until enough
-of their neighbours are found. Then every vector queries every shard. A query's answer in a shard
-is the number of vectors that it links with there and one edge for each class of the shard's own
-vectors, so that a group of near copies never becomes all its pairs.
+Exact copies collapse first. Every shard is built in one task of bounded bytes: its vectors gather in balls of half
+the linking angle around hubs, so that all of a ball are linked, and a graph leads to the hubs. Then every
+vector queries every shard. The angle to a hub bounds those to its ball, and only members that the bounds leave
+open are compared; so a group of near copies costs its size and not its square. A query's answer is
+the number of vectors that it links with and one edge for each class of the shard's own.
+
+Every task audits itself: some of its own queries are compared with the whole shard, and the beam is widened until
+enough of their links are found; if no beam does it, the task compares its queries with all hubs.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from .store import drop, small_batches, stash
 
 #: Neighbours of a vector on each upper level; twice as many on the lowest.
 LINKS = 12
-#: Vectors of a shard and queries of a task at most, and shards at least.
-SHARD_VECTORS, TASK_QUERIES, LEAST_SHARDS = 200_000, 8_000, 6
-#: Recall over AUDITS sampled vectors of a shard with FEW_LINKS at most, and over some with more, that ends the widening of its beam.
-AUDIT_RECALL, AUDITS, FIRST_BEAM = 0.995, 256, 24
-FEW_LINKS, MANY_AUDITS = 64, 64
-#: A similarity within this of the threshold may round to either side of it, so it is no truth to audit.
-_ROUNDING = 1e-6
+#: Bytes of a shard's vectors and links and of a task's queries at most, and shards at least.
+SHARD_BYTES, QUERY_BYTES, LEAST_SHARDS = 96 << 20, 48 << 20, 6
+#: Beam at first; mean recall over the audited queries with links to others that ends its widening, with few links and with many apart.
+FIRST_BEAM, AUDIT_RECALL, LEAST_RECALL = 24, 0.995, 0.9
+#: Links up to which a query has few; queries of either kind that an audit looks for, and queries that it compares at most.
+FEW_LINKS, AUDITS, MOST_AUDITED = 64, 64, 1024
+#: Angles in radians that rounding can hide.
+_EPS = 1e-6
 _BLOCK = 512
 
 
@@ -42,6 +46,7 @@ class Graph:
         top = int(self.level.max(initial=0))
         self.links = [np.full((n, LINKS * (2 if lv == 0 else 1)), -1, np.int32) for lv in range(top + 1)]
         self.beam, self.entry = FIRST_BEAM, -1
+        self.dense = False  # compare with everything
         order = np.argsort(-self.level, kind="stable")
         at = 0
         while at < n:
@@ -50,10 +55,10 @@ class Graph:
             at += len(batch)
 
     @classmethod
-    def load(cls, x: np.ndarray, links: bytes, levels: int, beam: int, entry: int) -> Graph:
+    def load(cls, x: np.ndarray, links: bytes, levels: int, entry: int) -> Graph:
         """A graph from what a shard's row holds."""
         g, flat, at = cls.__new__(cls), np.frombuffer(links, np.int32), 0
-        g.x, g.beam, g.entry, g.links = x.astype(np.float32), beam, entry, []
+        g.x, g.beam, g.entry, g.links, g.dense = x.astype(np.float32), FIRST_BEAM, entry, [], False
         for lv in range(levels):
             size = len(x) * LINKS * (1 if lv else 2)
             g.links.append(flat[at : at + size].reshape(len(x), -1))
@@ -185,6 +190,11 @@ class Graph:
         block = _step(len(self.x))
         for a in range(0, len(q), block):
             part = np.ascontiguousarray(q[a : a + block], np.float32)
+            if self.dense:
+                r, node = np.nonzero(part @ self.x.T >= least)
+                rows.append(r + a)
+                nodes.append(node)
+                continue
             start = np.full(len(part), self.entry)
             for lv in range(len(self.links) - 1, 0, -1):
                 start = self._search(part, start, lv, 4)[0][:, 0]
@@ -209,38 +219,6 @@ class Graph:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(rows).astype(np.int64), np.concatenate(nodes).astype(np.int64)
 
-    def audit(self, least: float) -> float:
-        """Widen the beam until sampled vectors find AUDIT_RECALL of what comparing them with the whole shard finds.
-
-        Recall is the mean over vectors that link with others, the lesser of that of vectors with few
-        links and that of those with many, without matches with themselves. The sample grows until
-        AUDITS vectors with few links are in it, or the whole shard has been looked at.
-        """
-        n = len(self.x)
-        order, few, many = np.random.default_rng(7).permutation(n), [], []
-        for i in range(0, n, 64):
-            if sum(map(len, few)) >= AUDITS:
-                break
-            part = order[i : i + 64]
-            hit = self.x[part] @ self.x.T >= least + _ROUNDING
-            hit[np.arange(len(part)), part] = False
-            links = hit.sum(axis=1)
-            few.append(np.column_stack([part, links])[(links > 0) & (links <= FEW_LINKS)])
-            if sum(map(len, many)) < MANY_AUDITS:
-                many.append(np.column_stack([part, links])[links > FEW_LINKS])
-        strata = [np.concatenate(x) for x in (few, many) if sum(map(len, x))]
-        while True:
-            recall = min((self._recall(x, least) for x in strata), default=1.0)
-            if recall >= AUDIT_RECALL or self.beam >= n:
-                return recall
-            self.beam *= 2
-
-    def _recall(self, sample: np.ndarray, least: float) -> float:
-        """Mean share of its links that each vector of sample (vector, links) finds."""
-        a, b = self.near(self.x[sample[:, 0]], least)
-        found = np.bincount(a[sample[a, 0] != b], minlength=len(sample))
-        return float(np.minimum(found / sample[:, 1], 1.0).mean())
-
 
 def _classes(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest member of each of n nodes' classes under edges (a, b)."""
@@ -255,23 +233,21 @@ def _classes(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1), np.float32)
+def _units(raw: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision; scaled first, so that squares neither overflow nor vanish."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-GRAPH = "shard int, beam int, entry int, levels int, recall double, ids binary, copies binary, vectors binary, links binary, classes binary"
-FOUND = "vec_id long, other long, n long"
-#: Single-precision similarities are this near to the exact ones.
-_SLACK = 1e-4
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1), np.float32)
 
 
-def _exact(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs' cosines are ``least`` or more in double precision."""
-    out = np.empty(len(a), bool)
-    for i in range(0, len(a), 1 << 15):
-        out[i : i + (1 << 15)] = np.einsum("ad,ad->a", q[a[i : i + (1 << 15)]], x[b[i : i + (1 << 15)]]) >= least
-    return out
+SHARD = "shard int, entry int, levels int, ids binary, copies binary, vectors binary, hubs binary, hub_of binary, links binary, classes binary"
+FOUND = "vec_id long, other long, n long, recall double"
 
 
 def _step(n: int) -> int:
@@ -279,88 +255,206 @@ def _step(n: int) -> int:
     return max(16, min(_BLOCK, (1 << 24) // max(1, n)))
 
 
+class Shard:
+    """Vectors in balls around hubs, and a graph of the hubs.
+
+    ``x`` are unit vectors in double precision, ``hubs`` the places of the hubs in it and ``hub_of`` each vector's
+    hub by its place in ``hubs``.
+    """
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, least: float):
+        self.ids, self.copies, self.x = ids, copies, x
+        everything = Graph(x)
+        self.hub_of, hubs = np.full(len(x), -1), []
+        ball = math.cos(math.acos(least) / 2 - _EPS)
+        order, at, size = np.random.default_rng(11).permutation(len(x)), 0, 32
+        while at < len(order):
+            block = order[at : at + size]
+            at += len(block)
+            block = block[self.hub_of[block] < 0]
+            a, b = everything.near(x[block], ball)
+            first = np.searchsorted(a := a[by := np.argsort(a, kind="stable")], np.arange(len(block) + 1))
+            b = b[by]
+            for k, i in enumerate(block):
+                if self.hub_of[i] < 0:
+                    near = b[first[k] : first[k + 1]]
+                    near = near[self.hub_of[near] < 0]
+                    near = near[x[near] @ x[i] >= ball]
+                    self.hub_of[near] = self.hub_of[i] = len(hubs)
+                    hubs.append(i)
+            size = min(512, 2 * size) if len(a) <= 8 * len(block) else 32
+        self.hubs = np.array(hubs, np.int64)
+        self.graph = everything if len(hubs) == len(x) and (self.hubs == np.arange(len(x))).all() else Graph(x[self.hubs])
+        self._arrange(least)
+        self.label = np.empty(0, np.int64)
+        label = self.hubs[self.hub_of]
+        for i in range(0, len(x), step := _step(len(self.hubs))):
+            q, balls, _, linked = self._reach(x[i : i + step])
+            pairs = np.unique(np.column_stack([label[q[linked] + i], label[self.hubs[balls[linked]]]]), axis=0)
+            if len(pairs):
+                label = _classes(pairs[:, 0], pairs[:, 1], len(x))[label]
+        self.label = label
+
+    @classmethod
+    def load(cls, row: dict, least: float, kind: str) -> Shard:
+        s = cls.__new__(cls)
+        s.ids, s.copies, s.hubs, s.hub_of, s.label = (np.frombuffer(row[k], np.int64) for k in ("ids", "copies", "hubs", "hub_of", "classes"))
+        s.x = _units(np.frombuffer(row["vectors"], kind).reshape(len(s.ids), -1))
+        s.graph = Graph.load(s.x[s.hubs], row["links"], row["levels"], row["entry"])
+        s._arrange(least)
+        return s
+
+    def _arrange(self, least: float) -> None:
+        """Members by hub and angle to it; the copies up to each."""
+        self.least, self.angle = least, math.acos(least)
+        theta = np.arccos(np.clip(np.einsum("ad,ad->a", self.x, self.x[self.hubs[self.hub_of]]), -1, 1))
+        self.member = np.lexsort((theta, self.hub_of))
+        # an angle is below 4, so that one sorted array serves all balls
+        self.place = self.hub_of[self.member] * 8.0 + theta[self.member]
+        self.first = np.searchsorted(self.hub_of[self.member], np.arange(len(self.hubs) + 1))
+        self.upto = np.concatenate([[0], np.cumsum(self.copies[self.member])])
+
+    def _reach(self, q: np.ndarray):
+        """(query, ball, copies linked, whether any member is) of each ball that a query may link into."""
+        a, h = self.graph.near(q, math.cos(min(math.pi, 1.5 * self.angle)) - 1e-4)
+        ang = np.empty(len(a))
+        for i in range(0, len(a), 1 << 15):
+            part = slice(i, i + (1 << 15))
+            ang[part] = np.arccos(np.clip(np.einsum("ad,ad->a", q[a[part]], self.x[self.hubs[h[part]]]), -1, 1))
+        sure = np.searchsorted(self.place, h * 8.0 + np.clip(self.angle - ang - _EPS, -1, 4), side="right")
+        sure = np.maximum(sure, self.first[h])
+        open_ = np.maximum(np.searchsorted(self.place, h * 8.0 + np.clip(ang - self.angle - _EPS, -1, 4)), sure)
+        end = self.first[h + 1]
+        n = (self.upto[sure] - self.upto[self.first[h]]).astype(np.int64)
+        some = sure > self.first[h]
+        width = np.maximum(end - open_, 0)
+        upto, lo = np.cumsum(width), 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 17), side="right")))
+            w = width[lo:hi]
+            pair = np.repeat(np.arange(lo, hi), w)
+            m = self.member[open_[pair] + np.arange(len(pair)) - np.repeat(np.cumsum(w) - w, w)]
+            ok = np.empty(len(pair), bool)
+            for i in range(0, len(pair), 1 << 15):
+                part = slice(i, i + (1 << 15))
+                ok[part] = np.einsum("ad,ad->a", q[a[pair[part]]], self.x[m[part]]) >= self.least
+            n[lo:hi] += np.bincount(pair[ok] - lo, weights=self.copies[m[ok]], minlength=hi - lo).astype(np.int64)
+            some[pair[ok]] = True
+            lo = hi
+        return a, h, n, some
+
+    def ask(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Copies that each query links with, without itself, and (query, class) of its links."""
+        low, high = (np.searchsorted(self.ids, ids, side=x) for x in ("left", "right"))
+        n, heads = np.zeros(len(q), np.int64), []
+        for i in range(0, len(q), step := _step(len(self.hubs))):
+            part = slice(i, i + step)
+            a, h, many, some = self._reach(q[part])
+            np.add.at(n, a[some] + i, many[some])
+            # vectors of a query's own id, where they were reached
+            w = high[part] - low[part]
+            mine = np.repeat(np.arange(len(w)), w)
+            there = low[part][mine] + np.arange(len(mine)) - np.repeat(np.cumsum(w) - w, w)
+            met = np.isin(mine * len(self.hubs) + self.hub_of[there], a * len(self.hubs) + h) & (np.einsum("ad,ad->a", q[part][mine], self.x[there]) >= self.least)
+            np.subtract.at(n, mine[met] + i, self.copies[there[met]])
+            heads.append(np.unique(np.column_stack([a[some] + i, self.label[self.hubs[h[some]]]]), axis=0))
+        return n, np.concatenate(heads) if heads else np.empty((0, 2), np.int64)
+
+    def audit(self, ids: np.ndarray, q: np.ndarray) -> float:
+        """Widen the beam until sampled queries find AUDIT_RECALL of their links to others; the recall in the end.
+
+        Recall is the mean over queries with links, the lesser of that of queries with few and of those
+        with many. The sample is as large as it takes to have AUDITS of each, if MOST_AUDITED hold them.
+        """
+        order, found = np.random.default_rng(7).permutation(len(q))[:MOST_AUDITED], []
+        for i in range(0, len(order), 64):
+            part = order[i : i + 64]
+            hit = q[part] @ self.x.T >= self.least
+            hit &= ids[part][:, None] != self.ids[None, :]
+            found.append(np.column_stack([part, hit @ self.copies]))
+            links = np.concatenate(found)[:, 1]
+            if min(((links > 0) & (links <= FEW_LINKS)).sum(), (links > FEW_LINKS).sum()) >= AUDITS:
+                break
+        found = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        strata = [x for x in (found[(found[:, 1] > 0) & (found[:, 1] <= FEW_LINKS)], found[found[:, 1] > FEW_LINKS]) if len(x)]
+        while True:
+            recall = min((float(np.minimum(self.ask(ids[x[:, 0]], q[x[:, 0]])[0] / x[:, 1], 1.0).mean()) for x in strata), default=1.0)
+            if recall >= AUDIT_RECALL or self.graph.dense:
+                return recall
+            self.graph.beam *= 2
+            self.graph.dense = self.graph.beam >= len(self.hubs)
+
+
 def _build(table: pa.Table, least: float) -> pa.Table:
-    """A shard's graph, and the smallest member of each vector's class under the shard's own links."""
-    ids = table.column("vec_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    exact = _matrix(table.column("unit").combine_chunks())[order].astype(np.float64)
-    ids, g = ids[order], Graph(exact)
-    recall, label = g.audit(least - _SLACK), np.arange(len(ids))
-    for i in range(0, len(ids), step := _step(len(ids))):
-        a, b = g.near(g.x[i : i + step], least - _SLACK)
-        ok = _exact(exact[i : i + step], exact, a, b, least)
-        pairs = np.unique(np.column_stack([label[a[ok] + i], label[b[ok]]]), axis=0)
-        if len(pairs):
-            label = _classes(pairs[:, 0], pairs[:, 1], len(ids))[label]
-    parts = {"ids": ids, "copies": table.column("copies").to_numpy()[order], "vectors": exact, "links": np.concatenate([t.ravel() for t in g.links]), "classes": label}
-    row = {"shard": table.column("shard")[0].as_py(), "beam": g.beam, "entry": g.entry, "levels": len(g.links), "recall": recall} | {k: v.tobytes() for k, v in parts.items()}
-    kinds = {"shard": pa.int32(), "beam": pa.int32(), "entry": pa.int32(), "levels": pa.int32(), "recall": pa.float64()}
-    return pa.Table.from_pylist([row], pa.schema([*kinds.items(), *((k, pa.binary()) for k in parts)]))
+    """A shard as one row."""
+    order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
+    raw = _matrix(table.column("vector"))[order]
+    s = Shard(table.column("vec_id").to_numpy()[order], table.column("copies").to_numpy()[order], _units(raw), least)
+    parts = {"ids": s.ids, "copies": s.copies, "vectors": raw, "hubs": s.hubs, "hub_of": s.hub_of.astype(np.int64), "links": np.concatenate([t.ravel() for t in s.graph.links]), "classes": s.label}
+    row = {"shard": table.column("shard")[0].as_py(), "entry": s.graph.entry, "levels": len(s.graph.links)} | {k: v.tobytes() for k, v in parts.items()}
+    return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("entry", pa.int32()), ("levels", pa.int32()), *((k, pa.binary()) for k in parts)]))
 
 
 def _ask(queries: pa.Table, index: pa.Table, least: float) -> pa.Table:
-    """Of each query, an edge to each class of the shard that it links into, and its number of links there."""
-    vec, other, many = [], [], []
+    """Of each query, an edge to each class of the shard that it links into, and its number of links there; and the audit's recall."""
+    vec, other, many, recall = [], [], [], []
     if index.num_rows and queries.num_rows:
-        row = index.slice(0, 1).to_pylist()[0]
-        ids, copies, label = (np.frombuffer(row[k], np.int64) for k in ("ids", "copies", "classes"))
-        exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-        g = Graph.load(exact, row["links"], row["levels"], row["beam"], row["entry"])
-        mine, q = queries.column("vec_id").to_numpy(), _matrix(queries.column("unit").combine_chunks())
-        for i in range(0, len(q), step := _step(len(ids))):
-            a, b = g.near(q[i : i + step], least - _SLACK)
-            ok = _exact(q[i : i + step], exact, a, b, least) & (mine[a + i] != ids[b])
-            a, b = a[ok] + i, b[ok]
-            heads = np.unique(np.column_stack([a, label[b]]), axis=0)
-            n = np.bincount(a, weights=copies[b], minlength=1).astype(np.int64)
-            hit = np.flatnonzero(n)
-            vec += [mine[heads[:, 0]], mine[hit]]
-            other += [pa.array(ids[heads[:, 1]]), pa.nulls(len(hit), pa.int64())]
-            many += [np.zeros(len(heads), np.int64), n[hit]]
+        raw = _matrix(queries.column("vector"))
+        s, mine, q = Shard.load(index.slice(0, 1).to_pylist()[0], least, raw.dtype.str), queries.column("vec_id").to_numpy(), _units(raw)
+        recall.append(s.audit(mine, q))
+        n, heads = s.ask(mine, q)
+        hit = np.flatnonzero(n)
+        vec, many = [mine[heads[:, 0]], mine[hit]], [np.zeros(len(heads), np.int64), n[hit]]
+        other = [pa.array(s.ids[heads[:, 1]]), pa.nulls(len(hit), pa.int64())]
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return pa.table([pa.array(join(vec)), pa.chunked_array(other, pa.int64()), pa.array(join(many))], ["vec_id", "other", "n"])
+    rows = pa.table([pa.array(join(vec)), pa.chunked_array(other, pa.int64()), pa.array(join(many)), pa.nulls(sum(map(len, vec)), pa.float64())], ["vec_id", "other", "n", "recall"])
+    audits = pa.table([pa.nulls(len(recall), pa.int64()), pa.nulls(len(recall), pa.int64()), pa.array([0] * len(recall), pa.int64()), pa.array(recall, pa.float64())], rows.column_names)
+    return pa.concat_tables([rows, audits])
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for each row of ``embeddings``; other columns are ignored.
+    """``vec_id, n_links, component_id, kept, audited_recall`` for each row of ``embeddings``; other columns are ignored.
 
-    Two vectors link when their cosine, in double precision, is ``least`` or more; every link reported
-    is verified, and links are those that the audited graphs lead to. Vectors that are null, empty,
+    Two vectors link when their cosine, in double precision, is ``least`` or more (so at a tie); links are those that the
+    graphs lead to, and every one counted is verified, by its cosine or by angles that bound it. audited_recall is the least of
+    all tasks' audits; below LEAST_RECALL it is an error. Vectors that are null, empty,
     zero or hold a null or non-finite component link with nothing; vectors of different lengths never
     link. Rows with equal vectors link with each other. A null id keeps its row, links with nothing
     and has a null component and kept. Different vectors under one id are one node and are not linked
-    with each other. No rows give no rows.
+    with each other. Vectors have no length limit but that QUERY_BYTES must hold one. No rows give no rows.
     """
     spark = embeddings.sparkSession
     small_batches(spark)
-    v = F.col(vector_col)
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+    kind = "float" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "double"
+    v = F.transform(F.col(vector_col), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # no negative zeros
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     fine = F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0.0) & F.col("vec_id").isNotNull()
-    # scaled by the largest component first, so that squares neither overflow nor vanish
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    rows = rows.withColumn("w", F.when(fine, F.transform("v", lambda x: x / top + 0.0)))
-    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("unit", F.transform("w", lambda x: x / norm)).select("vec_id", "unit")
-    rows = stash(rows.withColumn("hash", F.xxhash64("unit")), "units")
-    reps = stash(rows.where("unit IS NOT NULL").groupBy("hash", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    rows = stash(rows.select("vec_id", F.when(fine, F.col("v")).alias("vector")).withColumn("hash", F.xxhash64("vector")), "vectors")
+    reps = stash(rows.where("vector IS NOT NULL").groupBy("hash", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct")
     found = spark.createDataFrame([], FOUND)
-    for dim, n in [(r.dim, r["count"]) for r in reps.groupBy(F.size("unit").alias("dim")).count().collect()]:
-        shards, chunks = max(LEAST_SHARDS, -(-n // SHARD_VECTORS)), max(2, -(-n // TASK_QUERIES))
+    used = []
+    for dim, n in [(r.dim, r["count"]) for r in reps.groupBy(F.size("vector").alias("dim")).count().collect()]:
+        width = dim * (4 if kind == "float" else 8)
+        shards, chunks = max(LEAST_SHARDS, -(-n * (width + 40 + 12 * LINKS) // SHARD_BYTES)), max(2, -(-n * width // QUERY_BYTES))
         of = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-        part = reps.where(F.size("unit") == dim).select(F.col("rep").alias("vec_id"), "unit", "copies", of.alias("shard"))
-        graphs = part.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _build(t, least), GRAPH)
-        graphs = stash(graphs, "graphs").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        asked = part.select("vec_id", "unit", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        answers = asked.groupBy("shard", "chunk").cogroup(graphs.groupBy("shard", "chunk")).applyInArrow(lambda q, g: _ask(q, g, least), FOUND)
-        found = found.unionByName(answers)
+        part = reps.where(F.size("vector") == dim).select(F.col("rep").alias("vec_id"), "vector", "copies", of.alias("shard"))
+        built = stash(part.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _build(t, least), SHARD), "shards")
+        graphs = built.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        asked = part.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        found = found.unionByName(asked.groupBy("shard", "chunk").cogroup(graphs.groupBy("shard", "chunk")).applyInArrow(lambda q, g: _ask(q, g, least), FOUND))
+        used.append(built)
     found = stash(found, "found")
+    drop(*used)
+    recall = found.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"audited recall {recall:.3f} is below {LEAST_RECALL}")
     parts = components(found.where("other IS NOT NULL"), "vec_id", "other")
-    links = found.where("other IS NULL").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("n"))
+    links = found.where("other IS NULL AND recall IS NULL").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("n"))
     named = reps.join(links, "rep", "left").join(parts, reps.rep == parts.node, "left")
-    named = stash(named.select("hash", "unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
-    drop(found)
-    out = rows.join(named, ["hash", "unit"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    named = stash(named.select("hash", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
+    drop(found, reps)
+    out = rows.join(named, ["hash", "vector"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("audited_recall", F.lit(recall))
 
 
 def op3_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quillmap.llm import hnsw, ngram_join
+from quillmap.llm.queries import QUERIES
 
 from .helpers import LONG, classes, no_documents, odd_documents, shingles, words
 
@@ -70,54 +71,100 @@ def brute_cosine(vectors, least=0.95):
     return sorted((i, count[i], label[i], label[i] == i) for i, _ in vectors)
 
 
-def test_embeddings(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(30, 16))
-    rows = [(i, [float(x) for x in centres[i % 30] + rng.normal(size=16) * (0.05 if i % 3 else 1.5)]) for i in range(900)]
-    rows += [(1000 + i, rows[1][1]) for i in range(40)]  # exact copies
-    rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [float("inf")] * 16), (2005, [None] * 16), (2006, [1.0, 2.0]), (2007, [1.0, 2.01]), (2008, [1e200] * 16), (2009, [1e-200] * 16)]
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, unit string")
-    got = sorted(map(tuple, hnsw.near_duplicates(df).collect()))
-    want = brute_cosine(rows)
+def compare(got, rows):
+    got, want = sorted(tuple(r)[:4] for r in got), brute_cosine(rows)
     assert [g[0] for g in got] == [w[0] for w in want]
     assert all(g[1] <= w[1] for g, w in zip(got, want))
     assert sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want)
     assert sum(g[2:] == w[2:] for g, w in zip(got, want)) >= 0.99 * len(want)
-    assert hnsw.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings(spark, kind):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 30] + rng.normal(size=16) * (0.05 if i % 3 else 1.5)]) for i in range(900)]
+    rows += [(1000 + i, rows[1][1]) for i in range(40)] + [(1100 + i, [(2.0 + i) * x for x in rows[4][1]]) for i in range(9)]  # exact and scaled copies
+    rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [float("inf")] * 16), (2005, [None] * 16), (2006, [1.0, 2.0]), (2007, [1.0, 2.01])]
+    rows += [(2008, [1e200] * 16), (2009, [1e-200] * 16)] if kind == "double" else []
+    rows = [(i, v and [x and float(np.float32(x)) for x in v]) if kind == "float" else (i, v) for i, v in rows]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], f"vec_id long, embedding array<{kind}>, vector string")
+    got = hnsw.near_duplicates(df).collect()
+    compare(got, rows)
+    assert all(r.audited_recall >= 0.99 for r in got)
+
+
+def test_odd_embeddings(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>, unit string")
+    assert hnsw.near_duplicates(empty).count() == 0
     nameless = hnsw.near_duplicates(spark.createDataFrame([(None, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in nameless) == [(0, 0, None), (3, 0, 3)]
+    # different vectors under one id are one node and not linked with each other; 
+    rows = [(1, [1.0, 0.0]), (1, [0.96, 0.28]), (2, [0.0, 1.0]), (3, [0.6, 0.8]), (4, [-0.0, 3.0]), (4, [0.0, 3.0])]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=0.79).collect()
+    assert sorted((r.vec_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1)]
+    assert {r.n_links for r in got if r.vec_id == 1} == {1} and {r.n_links for r in got if r.vec_id == 2} == {3}
+
 
+@pytest.mark.parametrize("size", [60, 400])
+def test_query_on_planted_pairs(spark, tmp_path, size):
+    """The registered query, on pairs, groups and a hot group of near copies among vectors that link with nothing."""
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(3 * size, 64))
+    x = np.concatenate([x, x[:size] + rng.normal(size=(size, 64)) * 0.12, np.repeat(x[:1], size, 0) + rng.normal(size=(size, 64)) * 0.15, np.repeat(x[5:8], 8, 0) + rng.normal(size=(24, 64)) * 0.3]).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x[rng.permutation(len(x))])]
+    spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    compare(QUERIES["op3_embedding_near_dedup"](spark, str(tmp_path)).collect(), rows)
 
-def test_graph_recall():
+
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _shard(x):
+    return hnsw.Shard(np.arange(len(x)), np.ones(len(x), np.int64), _unit(x), 0.95)
+
+
+def test_shard_counts_links():
+    """Bounds count what comparing would, also where balls overlap and queries come from elsewhere."""
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(3000, 24))
-    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 24)) * 0.05, np.repeat(x[:1], 200, 0) + rng.normal(size=(200, 24)) * 0.02])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g = hnsw.Graph(x)
-    assert g.audit(0.95) >= hnsw.AUDIT_RECALL
-    want = int((x.astype(np.float32) @ x.astype(np.float32).T >= 0.95).sum())
-    assert len(g.near(g.x, 0.95)[0]) >= 0.99 * want
+    x = rng.normal(size=(1500, 24))
+    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 24)) * 0.2, np.repeat(x[:1], 500, 0) + rng.normal(size=(500, 24)) * 0.25])
+    s, other = _shard(x), _unit(x[::3] + rng.normal(size=(len(x[::3]), 24)) * 0.1)
+    assert len(s.hubs) < len(x) - 500
+    for ids, q in ((s.ids, s.x), (np.arange(10**6, 10**6 + len(other)), other)):
+        want = (q @ s.x.T >= 0.95) & (ids[:, None] != s.ids[None, :])
+        n, heads = s.ask(ids, q)
+        assert (n <= want.sum(1)).all() and n.sum() >= 0.995 * want.sum()
+        assert {(a, s.label[b]) for a, b in np.argwhere(want)} - set(map(tuple, heads)) == set() or n.sum() < want.sum()
+    assert s.audit(np.arange(10**6, 10**6 + len(other)), other) >= hnsw.AUDIT_RECALL
 
 
 def test_audit_sees_small_groups_beside_a_hot_one(monkeypatch):
-    """A search that finds the hot group and no other link, or that misses one link in twenty, must not pass."""
+    """A search that finds the hot group and few other links must not pass: the audit ends in comparing with all hubs."""
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1600, 24))
-    x = np.concatenate([x, x[:800] + rng.normal(size=(800, 24)) * 0.02, np.repeat(x[:1], 700, 0) + rng.normal(size=(700, 24)) * 0.02])
-    g = hnsw.Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
-    sims, near = g.x @ g.x.T, hnsw.Graph.near
-    hot = sims[0] >= 0.9
+    s = _shard(np.concatenate([x, x[:800] + rng.normal(size=(800, 24)) * 0.02, np.repeat(x[:1], 700, 0) + rng.normal(size=(700, 24)) * 0.02]))
+    hot, near = (s.x[s.hubs] @ s.x[0]) >= 0.9, hnsw.Graph.near
 
     def blind(self, q, least, beam=None):
         a, b = near(self, q, least, hnsw.FIRST_BEAM)
-        same = (q[a] == self.x[b]).all(axis=1)
-        ok = same | hot[b] | (rng.random(len(b)) < share)
+        if self.dense:
+            return a, b
+        ok = hot[b] | (rng.random(len(b)) < share)
         return a[ok], b[ok]
 
     monkeypatch.setattr(hnsw.Graph, "near", blind)
+    q = _unit(s.x + rng.normal(size=s.x.shape) * 0.002)
     for share in (0, 0.95):
-        g.beam = hnsw.FIRST_BEAM
-        assert g.audit(0.95) < hnsw.AUDIT_RECALL and g.beam >= len(x)
+        s.graph.beam, s.graph.dense = hnsw.FIRST_BEAM, False
+        assert s.audit(np.arange(len(q)) + 10**6, q) == 1.0 and s.graph.dense
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "LEAST_RECALL", 1.1)
+    with pytest.raises(RuntimeError, match="recall"):
+        hnsw.near_duplicates(spark.createDataFrame([(1, [1.0]), (2, [1.0])], "vec_id long, embedding array<double>"))
 
 
 def test_near_copy_stage_against_brute_force(spark, sf_dir):
