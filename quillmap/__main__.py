@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from .functions import minwise
 from .functions.geo import Rect
 from .operators import search, spatial, stats
-from .operators.build import inherited_tokens
+from .operators.build import inherited_tokens, region_tokens
 from .operators.index import build_index
 from .plans.schemes import MinWise, PositionalQGrams, StringSets
 from .sources.store import read_index, read_store, write_bench_csv, write_index
@@ -72,9 +72,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     index = read_index(spark, args.index, args.preload)
     if args.command == "query":
+        above = region_tokens(store["item_cells"], store["cell_parents"], store["region_kvs"])
         for text in args.match:
-            scheme = index.scheme if hasattr(index.scheme, "search") else StringSets()
-            print(f"{text}: {search.run_text(text, store['items'], tokens, scheme, store['item_kvs']).count()} items")
+            print(f"{text}: {index.find_text(text, store['item_kvs'], above).count()} items")
         return 0
     rows, failed = [], 0
     for q in _workload(args, store, tokens):

@@ -98,9 +98,10 @@ def centre_distance(a: str, b: str) -> Column:
     return F.hypot(y - v, x - u)
 
 
-def morton(prefix: str = "", low: tuple[float, float] = (-9000, -18000), span: tuple[float, float] = (18000, 36000), bits: int = 16) -> Column:
-    """Interleaved bits of the midpoint: rows near each other in it are near each other on the map."""
-    parts = []
+def morton(prefix: str = "", extent: Rect = Rect(-9000, 9000, -18000, 18000), bits: int = 16) -> Column:
+    """Interleaved bits of the midpoint's place in ``extent``: rows near each other in it are near each other on the map."""
+    low, parts = (extent.lat_min, extent.lon_min), []
+    span = (extent.lat_max - low[0] or 1.0, extent.lon_max - low[1] or 1.0)
     for axis, mid in enumerate(midpoint(prefix)):
         cell = F.floor((mid - low[axis]) / F.lit(float(span[axis])) * (1 << bits)).cast("long")
         x = F.least(F.greatest(cell, F.lit(0)), F.lit((1 << bits) - 1))

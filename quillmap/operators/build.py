@@ -30,6 +30,11 @@ def inherited_tokens(item_kvs: DataFrame, item_cells: DataFrame, cell_parents: D
     return own_tokens(item_kvs).unionByName(above).distinct()
 
 
+def region_tokens(item_cells: DataFrame, cell_parents: DataFrame, region_kvs: DataFrame) -> DataFrame:
+    """``item_id, token`` of every region above any of the item's cells, whether or not the item has the token itself."""
+    return item_cells.join(cell_tokens(cell_parents, region_kvs), "cell_id").select("item_id", "token").distinct()
+
+
 def exactly_once(item_cells: DataFrame) -> DataFrame:
     """Items in the order-free sense: each once, however many cells hold it."""
     return item_cells.select("item_id").distinct()
@@ -77,8 +82,8 @@ def long_form(signatures: DataFrame, key: str, family) -> DataFrame:
 
 
 def dedup_encode(signatures: DataFrame, key: str, sig: Column) -> tuple[DataFrame, DataFrame]:
-    """Dictionary encoding: ``key, sig_id`` and ``sig_id, sig``. Ids are hashes, so nothing is gathered to number them."""
-    keyed = signatures.select(key, sig.alias("sig")).withColumn("sig_id", F.xxhash64("sig"))
+    """Dictionary encoding: ``key, sig_id`` and ``sig_id, sig``. Ids are 128-bit digests, so nothing is gathered to number them and none coincide."""
+    keyed = signatures.select(key, sig.alias("sig")).withColumn("sig_id", F.md5(F.to_json(F.struct("sig"))))
     return keyed.select(key, "sig_id"), keyed.select("sig_id", "sig").dropDuplicates(["sig_id"])
 
 

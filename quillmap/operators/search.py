@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from ..functions.geo import GeoConstraint
@@ -26,31 +28,53 @@ def missed(exact: DataFrame, candidates: DataFrame) -> DataFrame:
     return idsets.difference(exact, candidates)
 
 
-def run_text(query: str, items: DataFrame, tokens: DataFrame, scheme=None, item_kvs: DataFrame | None = None) -> DataFrame:
+def _area(node) -> GeoConstraint | None:
+    """The constraint of a part of a query that has areas only: ``/`` is where they meet, ``+`` either."""
+    if isinstance(node, Area):
+        return node.geo
+    if isinstance(node, Text) or (left := _area(node.left)) is None or (right := _area(node.right)) is None:
+        return None
+    return left / right if isinstance(node, Both) else left + right
+
+
+def _conjuncts(node) -> list:
+    return [*_conjuncts(node.left), *_conjuncts(node.right)] if isinstance(node, Both) else [node]
+
+
+def run_text(query: str, items: DataFrame, tokens: DataFrame | None, scheme=None, item_kvs: DataFrame | None = None, region_tokens: DataFrame | None = None, matching=None) -> DataFrame:
     """Distinct ids of items that satisfy a textual query, see ``plans.textquery``.
 
-    ``item_kvs`` serves ``#word`` (own tags only) and ``!word`` (inherited tokens only).
+    ``item_kvs`` serves ``#word`` (own tags), ``region_tokens`` (item_id, token of the regions above it) ``!word``. What
+    stands together with areas is looked for only among the items in the place where these meet. ``matching``, if given,
+    takes an unscoped string's predicate to the items that may have it, in place of ``tokens``.
     """
     scheme = scheme or StringSets()
 
     def owned(scope: str) -> DataFrame:
         if scope == "any":
             return tokens
-        if item_kvs is None:
-            raise ValueError("scoped strings need the items' own tags")
-        own = own_tokens(item_kvs)
-        return own if scope == "item" else tokens.join(own, ["item_id", "token"], "left_anti")
-
-    def answer(node) -> DataFrame:
+        if (item_kvs if scope == "item" else region_tokens) is None:
+            raise ValueError("scoped strings need the items' own tags, or their regions' tokens")
+        return own_tokens(item_kvs) if scope == "item" else region_tokens
+
+    def answer(node, inside: DataFrame | None) -> DataFrame:
+        """Ids among ``inside``, or among all where that is None."""
+        among = lambda df: df if inside is None else df.join(inside, "item_id", "left_semi")
+        if isinstance(node, Text) and node.scope == "any" and matching is not None:
+            return among(matching(Has(node.value, node.ed))).select("item_id")
         if isinstance(node, Text):
-            return scheme.search(owned(node.scope), "item_id", Has(node.value, node.ed)).select("item_id").distinct()
-        if isinstance(node, Area):
-            return items.where(node.geo.column()).select("item_id").distinct()
-        left, right = answer(node.left), answer(node.right)
-        return idsets.intersect(left, right) if isinstance(node, Both) else idsets.unite(left, right)
-
-    assert Both and Either
-    return answer(parse(query))
+            return scheme.search(among(owned(node.scope)), "item_id", Has(node.value, node.ed)).select("item_id").distinct()
+        if (geo := _area(node)) is not None:
+            return among(items.where(geo.column())).select("item_id").distinct()
+        if isinstance(node, Either):
+            return idsets.unite(answer(node.left, inside), answer(node.right, inside))
+        parts = _conjuncts(node)
+        areas = [geo for part in parts if (geo := _area(part)) is not None]
+        if areas:
+            inside = among(items.where(reduce(GeoConstraint.__truediv__, areas).column())).select("item_id").distinct()
+        return reduce(idsets.intersect, (answer(part, inside) for part in parts if _area(part) is None))
+
+    return answer(parse(query), None)
 
 
 def two_stage(items: DataFrame, tokens: DataFrame, item_cells: DataFrame, cells: DataFrame, geo: GeoConstraint, predicate: Predicate, scheme=None) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import minwise
-from .functions.geo import GeoConstraint, Rect, overlap
+from .functions.geo import GeoConstraint, Rect
 from .functions.qgrams import base_length, overlap_counts, positional_qgrams, qgram_count, qgrams
 from .operators import build, idsets, search, spatial, stats
-from .operators.index import build_index
+from .operators.index import Index, build_index
 from .plans.schemes import Has, MinWise, PositionalQGrams, StringSets, verified
 from .sources.fixtures import PRELUDE, Fixtures
+from .sources.shared import run_folder
+from .sources.store import read_index, write_index
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -228,6 +232,37 @@ def gram_hash(f: Fixtures) -> DataFrame:
     return grams.select("gram", "x", *(FAMILY.hash(i, F.col("x")).alias(f"h{i}") for i in (0, 1)))
 
 
+GRAM_VIEW = f", toks AS (SELECT DISTINCT token FROM item_tokens), gr AS (SELECT DISTINCT g FROM ({_grams('toks')}) a)"
+FAMILY_61 = minwise.PolynomialFamily(slots=2, prime=minwise.PRIME_61)
+SHA = minwise.ShaFamily(slots=2)
+
+
+def _hash_61(i: int) -> str:
+    a, c = FAMILY_61.coefficients[i]
+    return f"CAST((CAST({a} AS HUGEINT)*x+{c})%{FAMILY_61.prime} AS BIGINT)"
+
+
+@query(f"{GRAM_VIEW} SELECT g AS gram, {_hash_61(0)} AS h0, {_hash_61(1)} AS h1 FROM (SELECT g, {NUMBER} AS x FROM gr) b")
+def gram_hash_61(f: Fixtures) -> DataFrame:
+    """Hashes of 61 bits."""
+    return _hashed_grams(f, FAMILY_61)
+
+
+def _sha(i: int) -> str:
+    return f"CAST('0x'||substr(sha256('{SHA.seed}:{i}:'||g),1,15) AS BIGINT) AS h{i}"
+
+
+@query(f"{GRAM_VIEW} SELECT g AS gram, {_sha(0)}, {_sha(1)} FROM gr")
+def gram_hash_sha(f: Fixtures) -> DataFrame:
+    """Hashes from keyed digests."""
+    return _hashed_grams(f, SHA)
+
+
+def _hashed_grams(f: Fixtures, family) -> DataFrame:
+    grams = f.item_tokens.select("token").distinct().select(F.explode(qgrams(F.col("token"), 3)).alias("gram")).distinct()
+    return grams.select("gram", *(family.hash(i, family.number(F.col("gram"))).alias(f"h{i}") for i in (0, 1)))
+
+
 @query(f"{TOKEN_SIGS} {_unpivot('token', 'ts')}")
 def minwise_token_sig(f: Fixtures) -> DataFrame:
     return build.long_form(build.token_signatures(f.item_tokens, FAMILY), "token", FAMILY)
@@ -256,26 +291,25 @@ def minwise_block_sig(f: Fixtures) -> DataFrame:
 
 
 AGREE = "+".join(f"CAST(a.h{i}=b.h{i} AS INT)" for i in SLOTS)
-RESEMBLE = f"{TOKEN_SIGS} SELECT a.token AS a, b.token AS b, CAST({AGREE} AS BIGINT) AS agreement"
-
+OWN_TOKENS = "FROM item_tokens o JOIN sig a USING (item_id) JOIN ts b USING (token)"
 
-def _nation_pairs(f: Fixtures) -> DataFrame:
-    sigs = build.token_signatures(f.item_tokens.where("token LIKE '@nation:%'"), FAMILY).select(F.substring("token", 1, 10).alias("kind"), "token", minwise.packed(FAMILY))
-    a, b = (sigs.select("kind", F.col("token").alias(n), F.col("sig").alias(f"sig_{n}")) for n in "ab")
-    return a.join(b, "kind").where("a < b")
 
+def _own_signatures(f: Fixtures) -> DataFrame:
+    """Each item's signature beside that of each of its tokens."""
+    signed = build.token_signatures(f.item_tokens, FAMILY)
+    items = build.minwise_signatures(f.item_tokens, "item_id", FAMILY, signatures=signed)
+    pack = lambda df, key, name: df.select(key, minwise.packed(FAMILY)).withColumnRenamed("sig", name)
+    return f.item_tokens.join(pack(items, "item_id", "a"), "item_id").join(pack(signed, "token", "b"), "token")
 
-PAIRS = "FROM ts a JOIN ts b ON substring(a.token,1,10)=substring(b.token,1,10) AND a.token<b.token WHERE a.token LIKE '@nation:%'"
 
-
-@query(f"{TOKEN_SIGS} SELECT a.token AS a, b.token AS b, CAST({AGREE} AS BIGINT) AS agreement {PAIRS}")
+@query(f"{ITEM_SIGS} SELECT item_id, o.token AS token, CAST({AGREE} AS BIGINT) AS agreement {OWN_TOKENS}")
 def minwise_agreement(f: Fixtures) -> DataFrame:
-    return _nation_pairs(f).select("a", "b", minwise.agreement(F.col("sig_a"), F.col("sig_b")).cast("long").alias("agreement"))
+    return _own_signatures(f).select("item_id", "token", minwise.agreement(F.col("a"), F.col("b")).cast("long").alias("agreement"))
 
 
-@query(f"{TOKEN_SIGS} SELECT a.token AS a, b.token AS b, CAST({AGREE} AS DOUBLE)/CAST(56 AS DOUBLE) AS resemblance {PAIRS}")
+@query(f"{ITEM_SIGS} SELECT item_id, o.token AS token, CAST({AGREE} AS DOUBLE)/CAST(56 AS DOUBLE) AS resemblance {OWN_TOKENS}")
 def minwise_resemblance(f: Fixtures) -> DataFrame:
-    return _nation_pairs(f).select("a", "b", minwise.resemblance(F.col("sig_a"), F.col("sig_b")).alias("resemblance"))
+    return _own_signatures(f).select("item_id", "token", minwise.resemblance(F.col("a"), F.col("b")).alias("resemblance"))
 
 
 def _minwise_find(f: Fixtures, predicate, geo: GeoConstraint | None = None) -> DataFrame:
@@ -311,10 +345,45 @@ def find_geo_minwise(f: Fixtures) -> DataFrame:
     return _minwise_find(f, Has(EUROPE))
 
 
+_STORED: set[str] = set()
+
+
+def _stored(f: Fixtures, method: str, dedup: bool = False) -> Index:
+    """An index of the tables' items, written to the shared folder once for an application and read from there."""
+    path = f"{run_folder(f.spark)}/index-{method}-{int(dedup)}-{hashlib.md5(f.sf_dir.encode()).hexdigest()}"
+    if path not in _STORED:
+        write_index(build_index(f.items, f.item_tokens, method), path, mode="overwrite", dedup=dedup)
+        _STORED.add(path)
+    return read_index(f.spark, path)
+
+
 @query(_minwise_sql(f"{_below(EUROPE)} AND {_below(MACHINERY)}"))
 def find_geo_minwise_index(f: Fixtures) -> DataFrame:
-    """The same from stored signatures, looking only into blocks that pass."""
-    return build_index(f.items, f.item_tokens, "minwise").find_pruned(GeoConstraint(WIDE), Has(EUROPE) / Has(MACHINERY))
+    """The same from stored signatures, looking only into stored blocks that pass."""
+    return _stored(f, "minwise").find_pruned(GeoConstraint(WIDE), Has(EUROPE) / Has(MACHINERY))
+
+
+@query(_minwise_sql(f"({_below(NATION)} OR {_may('@segment:machinary', 1)})"))
+def find_stored_minwise(f: Fixtures) -> DataFrame:
+    """From a stored index with deduplicated signatures, edits included."""
+    return _stored(f, "minwise", dedup=True).find(GeoConstraint(WIDE), Has(NATION) + Has("@segment:machinary", 1))
+
+
+@query(_ids(f"{_in(WIDE)} AND item_id IN {_pq(EUROPE, 0)} AND item_id IN {_pq('@segment:machinary', 1)}"))
+def find_stored_qgram(f: Fixtures) -> DataFrame:
+    return _stored(f, "qgram", dedup=True).find_pruned(GeoConstraint(WIDE), Has(EUROPE) / Has("@segment:machinary", 1))
+
+
+@query(_ids(f"{_in(WIDE)} AND (item_id IN {_with(EUROPE)} OR item_id IN {_with(NATION)})"))
+def find_stored_text(f: Fixtures) -> DataFrame:
+    """A textual query on a stored index."""
+    return _stored(f, "stringset").find_text(f'("{EUROPE}" + "{NATION}") / $geo:-9000,-3000,9000,3000')
+
+
+@query("SELECT item_id, lat_min, lat_max, lon_min, lon_max, array_to_string(list_sort(list(token)), '|') AS tokens FROM items LEFT JOIN item_tokens USING (item_id) GROUP BY ALL")
+def store_round_trip(f: Fixtures) -> DataFrame:
+    """What a stored, deduplicated index of string sets holds."""
+    return _stored(f, "stringset", dedup=True).items.select("item_id", "lat_min", "lat_max", "lon_min", "lon_max", F.array_join("tokens", "|").alias("tokens"))
 
 
 @query(_ids(f"{_in(WIDE)} AND item_id IN {_with(EUROPE)}"))
@@ -324,8 +393,7 @@ def find_geo_stringset(f: Fixtures) -> DataFrame:
 
 @query(_ids(f"({_in(WIDE)} OR {_in(EAST)}) AND item_id IN {_pq('@region:europa', 1)}"))
 def find_geo_pqgram(f: Fixtures) -> DataFrame:
-    index = build_index(f.items, f.item_tokens, "qgram")
-    return index.find_pruned(GeoConstraint(WIDE, EAST), Has("@region:europa", 1))
+    return _stored(f, "qgram").find_pruned(GeoConstraint(WIDE, EAST), Has("@region:europa", 1))
 
 
 # string sets
@@ -375,7 +443,24 @@ def adhoc_query(f: Fixtures) -> DataFrame:
 
 @query(f"SELECT item_id FROM item_kvs WHERE lower(concat('@',k,':',v))='{MACHINERY}' INTERSECT {_with(EUROPE)[1:-1]}")
 def adhoc_scoped(f: Fixtures) -> DataFrame:
-    return search.run_text(f'#"{MACHINERY}" !"{EUROPE}"', f.items, f.item_tokens, item_kvs=f.item_kvs)
+    return search.run_text(f'#"{MACHINERY}" !"{EUROPE}"', f.items, f.item_tokens, item_kvs=f.item_kvs, region_tokens=_above(f))
+
+
+def _above(f: Fixtures) -> DataFrame:
+    return build.region_tokens(f.item_cells, f.cell_parents, f.region_kvs)
+
+
+@query(f"SELECT DISTINCT item_id FROM item_cells JOIN cell_parents USING (cell_id) JOIN region_kvs USING (region_id) WHERE lower(concat('@',k,':',v)) IN ('{EUROPE}', '{NATION}')")
+def adhoc_region_scope(f: Fixtures) -> DataFrame:
+    """Strings of regions, whether or not the items have them too."""
+    kvs = f.item_kvs.unionByName(f.items.select("item_id", F.lit("region").alias("k"), F.lit("EUROPE").alias("v")))
+    return search.run_text(f'!"{EUROPE}" + !"{NATION}"', f.items, f.item_tokens, item_kvs=kvs, region_tokens=_above(f))
+
+
+@query(_ids(f"{_in(WIDE.intersection(NORTH))} AND item_id IN {_with(EUROPE)}"))
+def adhoc_area_meet(f: Fixtures) -> DataFrame:
+    """Areas joined by / are the place where they meet."""
+    return search.run_text(f'$geo:-9000,-3000,9000,3000 "{EUROPE}" / $geo:-12000,1000,4000,8000', f.items, f.item_tokens)
 
 
 @query(f"{_with(NATION)[1:-1]} UNION {_with(MACHINERY)[1:-1]}")
@@ -418,16 +503,19 @@ def two_stage_filter(f: Fixtures) -> DataFrame:
     return search.two_stage(f.items, f.item_tokens, f.item_cells, f.cells, GeoConstraint(WIDE), Has(EUROPE))
 
 
-@query(f", ex AS (SELECT item_id FROM items WHERE {_in(WIDE)} AND item_id IN {_with(EUROPE)}) SELECT 0::BIGINT AS missed, count(*) AS exact FROM ex")
+@query(f"{ITEM_SIGS}, ex AS (SELECT item_id FROM items WHERE {_in(WIDE)} AND item_id IN {_with(EUROPE)}) SELECT count(*) FILTER (WHERE item_id NOT IN (SELECT item_id FROM sig s WHERE {_below(EUROPE)})) AS missed, count(*) AS exact FROM ex")
 def missed_answers(f: Fixtures) -> DataFrame:
     exact = search.find(f.items, f.item_tokens, GeoConstraint(WIDE), Has(EUROPE), StringSets())
     lost = search.missed(exact, _minwise_find(f, Has(EUROPE))).agg(F.count("*").alias("missed"))
     return lost.crossJoin(exact.agg(F.count("*").alias("exact")))  # one row each
 
 
-@query("SELECT slots, (SELECT count(*) FROM item_tokens) AS matches FROM (VALUES (8), (16), (32)) t(slots)")
+PROBED = (8, 16, 32)
+
+
+@query(f"{ITEM_SIGS} " + " UNION ALL ".join(f"SELECT {n} AS slots, count(*) FILTER (WHERE {' AND '.join(f'a.h{i}<=b.h{i}' for i in range(n))}) AS matches {OWN_TOKENS}" for n in PROBED))
 def accuracy_probe(f: Fixtures) -> DataFrame:
-    return stats.accuracy_probe(f.item_tokens, [8, 16, 32])
+    return stats.accuracy_probe(f.item_tokens, list(PROBED))
 
 
 @query("SELECT item_id, array_to_string(list_sort(list(token)), '|') AS tokens FROM item_tokens GROUP BY item_id")
@@ -436,27 +524,49 @@ def sig_dedup(f: Fixtures) -> DataFrame:
     return build.dedup_decode(encoded, dictionary).select("item_id", F.array_join("sig", "|").alias("tokens"))
 
 
-@query("SELECT count(*) AS items, 0::BIGINT AS inconsistent FROM items")
+def _axis(a: str, b: str, low: str, high: str) -> str:
+    return f"least(greatest(CAST(floor((({a}+{b})/2.0::DOUBLE-{low})/({high}-{low})*65536) AS BIGINT),0),65535)"
+
+
+def _spread(x: str) -> str:
+    """The bits of x at every second place."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        x = f"list_transform([{x}], lambda v{shift}: (v{shift} | (v{shift} << {shift})) & {mask})[1]"
+    return x
+
+
+#: Items in blocks of 32 by the interleaved bits of their midpoints.
+PACKED = f""", ext AS (SELECT min(lat_min)::DOUBLE AS la, max(lat_max)::DOUBLE AS lb, min(lon_min)::DOUBLE AS oa, max(lon_max)::DOUBLE AS ob FROM items),
+axes AS (SELECT items.*, {_axis('lat_min', 'lat_max', 'la', 'lb')} AS y, {_axis('lon_min', 'lon_max', 'oa', 'ob')} AS x FROM items, ext),
+packed AS (SELECT *, (row_number() OVER (ORDER BY ({_spread('y')} << 1) | {_spread('x')}, item_id)-1)//32 AS block_id FROM axes),
+blocks AS (SELECT block_id, min(lat_min) AS lat_min, max(lat_max) AS lat_max, min(lon_min) AS lon_min, max(lon_max) AS lon_max FROM packed GROUP BY block_id),
+passing AS (SELECT block_id FROM blocks WHERE {_in(WIDE)} AND block_id IN (SELECT block_id FROM packed WHERE item_id IN {_with(NATION)})),
+inside AS (SELECT item_id, block_id FROM packed JOIN passing USING (block_id) WHERE {_in(WIDE)} AND item_id IN {_with(NATION)})"""
+
+
+@query(f"""{ITEM_SIGS}{PACKED}, signed AS (SELECT block_id, {MINIMA} FROM packed JOIN sig USING (item_id) GROUP BY block_id)
+SELECT count(*) AS items, count(*) FILTER (WHERE b.lat_min>p.lat_min OR b.lat_max<p.lat_max OR b.lon_min>p.lon_min OR b.lon_max<p.lon_max OR {' OR '.join(f'g.h{i}>s.h{i}' for i in SLOTS)}) AS inconsistent
+FROM packed p JOIN blocks b USING (block_id) LEFT JOIN signed g USING (block_id) LEFT JOIN sig s USING (item_id)""")
 def index_consistency(f: Fixtures) -> DataFrame:
-    index = build_index(f.items, f.item_tokens)
+    index = _stored(f, "minwise")
     bad = index.inconsistencies().agg(F.count("*").alias("inconsistent"))
     return index.items.agg(F.count("*").alias("items")).crossJoin(bad)  # one row each
 
 
-def prune_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visited and needed blocks; blocks follow a Morton order that SQL does not state, so there is no SQL."""
-    f = Fixtures(spark, sf_dir)
-    return stats.prune_overhead(build_index(f.items, f.item_tokens, "stringset"), GeoConstraint(WIDE), Has(NATION))
+@query(f"{PACKED} SELECT (SELECT count(*) FROM passing) AS visited_blocks, count(DISTINCT block_id) AS needed_blocks, count(*) AS visited_items FROM inside")
+def prune_overhead(f: Fixtures) -> DataFrame:
+    """Visited and needed blocks."""
+    return stats.prune_overhead(_stored(f, "stringset"), GeoConstraint(WIDE), Has(NATION))
 
 
-def visit_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Fixtures(spark, sf_dir)
-    return build_index(f.items, f.item_tokens, "stringset").visit(GeoConstraint(WIDE), Has(NATION))
+@query(f"{PACKED} SELECT 'root' AS node_type, 0::BIGINT AS node_id UNION ALL SELECT 'block', block_id FROM passing UNION ALL SELECT 'item', item_id FROM inside")
+def visit_nodes(f: Fixtures) -> DataFrame:
+    return _stored(f, "stringset").visit(GeoConstraint(WIDE), Has(NATION))
 
 
-def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Fixtures(spark, sf_dir)
-    return build_index(f.items, f.item_tokens, "stringset").metadata()
+@query(f"{PACKED} SELECT 2 AS depth, 1::BIGINT AS n_internal, (SELECT count(*) FROM blocks) AS n_blocks, count(*) AS n_items FROM packed")
+def index_metadata(f: Fixtures) -> DataFrame:
+    return _stored(f, "stringset").metadata()
 
 
 def generated_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,5 +580,4 @@ def generated_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idsets.reduce(DataFrame.unionByName, answers)
 
 
-QUERIES |= {f.__name__: f for f in (prune_overhead, visit_nodes, index_metadata, generated_workload)}
-__all__ = ["ORACLES", "QUERIES", "overlap"]
+QUERIES["generated_workload"] = generated_workload
