@@ -5,7 +5,7 @@ into bands; colliding paragraphs are joined and verified by exact Jaccard. Passa
 inside paragraphs are found through the windows of ``LEAST_WORDS`` words that begin at every word: a window's
 one band is its MinHash over ``BLOCK``-word shingles, and neighbouring windows with the same least shingle
 are one row. Two equal windows always collide, wherever paragraphs end; colliding shingles are
-equal in 128 bits, and a match is extended word by word to where the two texts stop agreeing.
+equal in 128 bits, and a match is extended, word by word in 64 bits each, to where the two texts stop agreeing.
 
 Matches become links and links become classes by connected components. Every shared shingle is kept by the least
 document that holds it. A document loses only what that keeper has word for word, and never words
@@ -70,7 +70,7 @@ def _band_keys(g: np.ndarray, first: np.ndarray, end: np.ndarray, bands: int) ->
         cuts = cuts[:-1]
     keys = np.zeros((len(first), bands), np.uint64)
     for i in range(bands * ROWS):
-        low = np.minimum.reduceat(mix(g * _SEEDS[i]), cuts)[::2]
+        low = np.minimum.reduceat(g * _SEEDS[i], cuts)[::2]  # shingles are mixed already
         keys[:, i // ROWS] = mix(keys[:, i // ROWS] * np.uint64(0x9E3779B97F4A7C15) + low + np.uint64(i + 1))
     return keys.view(np.int64)
 
@@ -196,7 +196,7 @@ def paragraph_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spread = listed.select("key", "band", "set_key").join(parts, F.col("set_key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "set_key")).select("key", "band", "set_key", "part")
     spread = stash(spread, "spread")
     many = spread.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(max(np.log(100 / percent), 1e-6) * 1.0001)).cast("int")
     rest = stash(spread.join(stash(many, "many"), "key").join(facts, "set_key").withColumn("size", size_class), "rest")
     # a pair comes from the first band in which it collides
     earlier = " AND ".join(f"NOT (a_band > {j} AND a_keys[{j}] = b_keys[{j}])" for j in range(bands))
@@ -233,68 +233,89 @@ def _runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
 
-def _surroundings(batches):
-    """MARGIN words to the left and right of each of a document's places, which are in front of a word or at the text's end."""
-    for batch in batches:
-        out = {k: [] for k in ("doc_id", "place", "left", "right")}
-        for i, (doc_id, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            w = Words(batch.column(1).slice(i, 1), NOT_SPACE)
-            for at in places:
-                left, right = ([w.word(j) for j in range(max(0, a), min(len(w.start), b))] for a, b in ((at - MARGIN, at), (at, at + MARGIN)))
-                for k, v in zip(out, (doc_id, at, b" ".join(left).decode(), b" ".join(right).decode())):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.string(), pa.string()))], list(out))
+def _around(w: Words, h: np.ndarray, row: np.ndarray, at: np.ndarray, missing: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the MARGIN words to the left of word ``at`` of each row, the nearest first, and of those from it on."""
+    begin, end, step = w.first[:-1][row], w.first[1:][row], np.arange(MARGIN)
+    out = []
+    for place in ((begin + at)[:, None] - 1 - step, (begin + at)[:, None] + step):
+        there = (place >= begin[:, None]) & (place < end[:, None])
+        out.append(np.where(there, h[np.where(there, place, 0)] if len(h) else np.uint64(0), np.uint64(missing)).view(np.int64))
+    return out[0], out[1]
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def _agreeing(w: Words, at: int, step: int, words: list[str]) -> int:
-    """How many of ``words``, in order, the text has from word ``at`` on in steps of 1 or -1."""
-    n = 0
-    while n < len(words) and 0 <= at < len(w.start) and w.word(at) == words[n].encode():
-        n, at = n + 1, at + step
-    return n
+def _surroundings(batches):
+    """The words on both sides of each of a document's places, which are in front of a word or at the text's end."""
+    for batch in batches:
+        for lo, hi in slices(batch.column(1)):
+            w = Words(batch.column(1).slice(lo, hi - lo), NOT_SPACE)
+            places = batch.column(2).slice(lo, hi - lo)
+            row, at = np.repeat(np.arange(hi - lo), places.value_lengths().to_numpy()), places.flatten().to_numpy().astype(np.int64)
+            left, right = _around(w, w.hashes(), row, at, 0)
+            columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(at.astype(np.int32)), *(_lists(x.ravel(), np.full(len(row), MARGIN)) for x in (left, right))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "left", "right"])
 
 
-_SPAN = "doc_id long, start long, n_words long, class long, source_doc_id long, source_start long, before string, after string"
+_SPAN = "doc_id long, start long, n_words long, class long, source_doc_id long, source_start long, before array<long>, after array<long>, lacks_left boolean, lacks_right boolean"
 
 
 def _extended(batches):
-    """Each document's runs to where the texts stop agreeing, and the words after that which a window could still hold."""
-    kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_words": pa.int64(), "class": pa.int64(), "source_doc_id": pa.int64(), "source_start": pa.int64(), "before": pa.string(), "after": pa.string()}
+    """Each document's runs to where the texts stop agreeing, and the words after that which a window could still hold.
+
+    lacks_left and lacks_right tell that no other run, sharing 7 words, goes on there.
+    """
+    names = [f.split()[0] for f in _SPAN.split(", ")]
     for batch in batches:
-        out = {k: [] for k in kinds}
-        for i, (doc_id, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            w = Words(batch.column(1).slice(i, 1), NOT_SPACE)
-            for r in runs:
-                a, b = r["start"], r["start"] + r["n_words"]
-                if b > len(w.start):
-                    continue  # of another text under the same id
-                left = _agreeing(w, a - 1, -1, r["left"].split(" ")[::-1] if r["left"] else [])
-                right = _agreeing(w, b, 1, r["right"].split(" ") if r["right"] else [])
-                before = b" ".join(w.word(j) for j in range(a - left - 1, max(-1, a - MARGIN - 1), -1))
-                after = b" ".join(w.word(j) for j in range(b + right, min(len(w.start), b + MARGIN)))
-                for k, v in zip(out, (doc_id, a - left, b - a + left + right, r["class"], r["source_doc_id"], r["source_start"] - left, before.decode(), after.decode())):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds.values())], list(out))
+        for lo, hi in slices(batch.column(1)):
+            w = Words(batch.column(1).slice(lo, hi - lo), NOT_SPACE)
+            lists = batch.column(2).slice(lo, hi - lo)
+            row, runs = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy()), lists.flatten()
+            fits = runs.field("start").to_numpy() + runs.field("n_words").to_numpy() <= w.counts()[row]  # else of another text under the same id
+            row, runs = row[fits], runs.filter(pa.array(fits))
+            doc_id = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
+            start, size, kind, source, there = (runs.field(k).to_numpy().astype(np.int64) for k in ("start", "n_words", "class", "source_doc_id", "source_start"))
+            h = w.hashes()
+            own_left, own_right = _around(w, h, row, start, 1)[0], _around(w, h, row, start + size, 1)[1]
+            left, right = (np.cumprod(own == runs.field(k).flatten().to_numpy().reshape(-1, MARGIN), axis=1).sum(axis=1) if len(row) else np.empty(0, np.int64) for own, k in ((own_left, "left"), (own_right, "right")))
+            a, b = start - left, start + size + right
+            more = []
+            for own, n, room in ((own_left, left, start), (own_right, right, w.counts()[row] - start - size)):
+                take = (np.arange(MARGIN) >= n[:, None]) & (np.arange(MARGIN) < room[:, None])
+                more.append(_lists(own[take], take.sum(axis=1)))
+            # other sources' runs that go on where this one ends
+            others, base = np.flatnonzero(source != doc_id.to_numpy()), row * np.int64(1 << 40)
+            first = np.sort((base + a)[others])
+            reach = np.concatenate([[-1], np.maximum.accumulate((base + b)[others][np.argsort((base + a)[others], kind="stable")])]) if len(others) else np.array([-1])
+            lacks_right = reach[np.searchsorted(first, base + b - 7, side="right")] <= base + b
+            last = np.sort(-(base + b)[others])
+            back = np.concatenate([[1], np.minimum.accumulate((base + a)[others][np.argsort(-(base + b)[others], kind="stable")])]) if len(others) else np.array([1])
+            count = np.searchsorted(last, -(base + a + 7), side="right")
+            lacks_left = (count == 0) | (back[count] >= base + a)
+            columns = [doc_id, *(pa.array(x) for x in (a, b - a, kind, source, there - left)), *more, pa.array(lacks_left & (source != doc_id.to_numpy())), pa.array(lacks_right & (source != doc_id.to_numpy()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _tails(spans: DataFrame) -> DataFrame:
     """Rows like ``spans`` of what documents share beyond the point where their common source stops agreeing.
 
     Documents that leave one source at one point are compared by the words that follow there, in reading
-    order to the right and against it to the left; each takes its longest run of them that a lesser one has.
-    A row begins BLOCK words before that point, where all of them agree with the source.
+    order to the right and against it to the left; one that no other run of its own covers there takes the longest
+    run of them that a lesser one has. A row begins BLOCK words before that point, where all of them agree with the source.
     """
     key = ["source_doc_id", "stop", "right"]
     end, there = F.col("start") + F.col("n_words"), F.col("source_start") + F.col("n_words")
-    right = spans.select("doc_id", "class", "source_doc_id", there.alias("stop"), F.lit(True).alias("right"), end.alias("at"), F.col("after").alias("more"))
-    left = spans.select("doc_id", "class", "source_doc_id", F.col("source_start").alias("stop"), F.lit(False).alias("right"), F.col("start").alias("at"), F.col("before").alias("more"))
-    ends = right.unionByName(left).where("more <> ''").withColumn("first", F.substring_index("more", " ", 1))
-    met = ends.groupBy(*key, "first").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*key, "first")
-    ends = ends.join(met, [*key, "first"]).withColumn("words", F.split("more", " "))
-    prefixes = ends.select(*key, "doc_id", "class", "at", F.posexplode(F.expr("transform(sequence(1, size(words)), n -> array_join(slice(words, 1, n), ' '))")).alias("n", "prefix"))
+    right = spans.select("doc_id", "class", "source_doc_id", there.alias("stop"), F.lit(True).alias("right"), end.alias("at"), F.col("after").alias("more"), F.col("lacks_right").alias("lacks"))
+    left = spans.select("doc_id", "class", "source_doc_id", F.col("source_start").alias("stop"), F.lit(False).alias("right"), F.col("start").alias("at"), F.col("before").alias("more"), F.col("lacks_left").alias("lacks"))
+    ends = right.unionByName(left).where("size(more) > 0").withColumn("first", F.col("more")[0])
+    met = ends.groupBy(*key, "first").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("lacks").alias("lacking")).where("low < high AND lacking").select(*key, "first")
+    ends = ends.join(stash(met, "met"), [*key, "first"])
+    prefixes = ends.select(*key, "doc_id", "class", "at", "lacks", F.posexplode(F.expr("transform(sequence(1, size(more)), n -> xxhash64(slice(more, 1, n)))")).alias("n", "prefix"))
     prefixes = stash(prefixes.withColumn("n", F.col("n") + 1), "prefixes")
-    least = prefixes.groupBy(*key, "prefix").agg(F.min(F.struct("doc_id", "at")).alias("low"))
-    longest = prefixes.join(least, [*key, "prefix"]).where("low.doc_id < doc_id").groupBy(*key, "doc_id", "class", "at").agg(F.max(F.struct("n", "low")).alias("x"))
+    least = prefixes.groupBy(*key, "n", "prefix").agg(F.min(F.struct("doc_id", "at")).alias("low"))
+    longest = prefixes.where("lacks").join(least, [*key, "n", "prefix"]).where("low.doc_id < doc_id").groupBy(*key, "doc_id", "class", "at").agg(F.max(F.struct("n", "low")).alias("x"))
     back = F.when(F.col("right"), F.lit(BLOCK)).otherwise(F.col("x.n"))
     tails = longest.select(
         "doc_id", (F.col("at") - back).alias("start"), (F.col("x.n") + BLOCK).cast("long").alias("n_words"), "class",
@@ -370,17 +391,17 @@ def window_matches(docs: DataFrame) -> DataFrame:
     end = (F.col("source_start") + F.col("n_words")).alias("place")
     places = runs.select(F.col("source_doc_id").alias("doc_id"), F.col("source_start").alias("place")).unionByName(runs.select(F.col("source_doc_id").alias("doc_id"), end)).distinct()
     places = broadcast_if(stash(places.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "places"), BROADCAST_IDS // 16)
-    around = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_surroundings, "doc_id long, place int, left string, right string")
+    around = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_surroundings, "doc_id long, place int, left array<long>, right array<long>")
     around = stash(around.dropDuplicates(["doc_id", "place"]), "around")
     left = around.select(F.col("doc_id").alias("source_doc_id"), F.col("place").alias("source_start"), "left")
     right = around.select(F.col("doc_id").alias("right_doc_id"), F.col("place").alias("right_place"), "right")
     joined = runs.join(left, ["source_doc_id", "source_start"])
     joined = joined.join(right, (F.col("source_doc_id") == F.col("right_doc_id")) & (F.col("source_start") + F.col("n_words") == F.col("right_place")))
     joined = joined.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words", "class", "source_doc_id", "source_start", "left", "right")).alias("runs"))
-    spans = stash(docs.join(joined, "doc_id").select("doc_id", "text", "runs").mapInArrow(_extended, _SPAN).distinct(), "spans")
+    spans = stash(docs.join(joined, "doc_id").select("doc_id", "text", "runs").mapInArrow(_extended, _SPAN), "spans")
     drop(runs, places, around)
     tails = _tails(spans)
-    rows = spans.where("doc_id <> source_doc_id").drop("before", "after").unionByName(tails)
+    rows = spans.where("doc_id <> source_doc_id").drop("before", "after", "lacks_left", "lacks_right").unionByName(tails)
     rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "n_words", "source_doc_id", "source_start", "class"))).alias("rows"))  # one document's
     matches = stash(rows.mapInArrow(_cover, "doc_id long, start long, n_words long, source_doc_id long, source_start long, class long"), "matches")
     drop(spans, tails)
