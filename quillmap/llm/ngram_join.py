@@ -89,7 +89,7 @@ def _may_link(n: tuple[str, str], ends: tuple[str, str], percent: int, slack: st
 
 
 def shingle_table(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n, set_key, prefix_key, prefix (rarest first) and sketches of each document.
+    """doc_id, text_hash, n, set_key, prefix_key, prefix (rarest first) and sketches of each document.
 
     Prefix shingles keep 32 bits: a collision there is one more candidate and changes no result.
     """
@@ -114,11 +114,11 @@ def shingle_table(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> D
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int32)
             lanes = np.stack(sketches).T if sketches else np.empty((LANES, 0), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefix_keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(wide, pa.list_(pa.int64())), *(pa.array(x.copy()) for x in lanes)],
-                ["doc_id", "n", "set_key", "prefix_key", "prefix", "wide", *SKETCH],
+                [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefix_keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(wide, pa.list_(pa.int64())), *(pa.array(x.copy()) for x in lanes)],
+                ["doc_id", "text_hash", "n", "set_key", "prefix_key", "prefix", "wide", *SKETCH],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key long, prefix_key long, prefix array<int>, wide array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, set_key long, prefix_key long, prefix array<int>, wide array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
 
 
 def _sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
@@ -177,16 +177,8 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text; others ignored).
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, a set holds the distinct ``k``-word
-    shingles, and two documents link when 100 * intersection >= percent * union. component_id is the
-    smallest doc_id that links reach. A null text and one without words have n_shingles 0 and link
-    with nothing. A null doc_id keeps its row and links as any other, but names no component unless
-    all of its members have none (then null). Repeated rows link with each other, each keeps its
-    row, and no rows give no rows.
-    """
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_hash, n, set_key`` of each document (among others), and ``set_key, doc_id, part`` of each set: its least doc_id and its class."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = stash(shingle_table(docs, k, percent, frequency_ranks(docs, k)), "shingles")
@@ -218,14 +210,17 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     parts = components(linked, "a", "b")
     labelled = members.join(parts, members.set_key == parts.node, "left").withColumn("part", F.coalesce("component", "set_key"))
     labelled = stash(labelled.drop("node", "component", "doc_id"), "labelled")
-    lead = labelled.where("gid = set_key").select("gid", "n", F.when(F.col("sets") > 1, 2 * F.col("n")).otherwise(0).alias("wide"), *SKETCH)
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(max(np.log(100 / percent), 1e-6) * 1.0001)).cast("int")
+    lead = labelled.where("gid = set_key").select("gid", "n", size_class.alias("size"), F.when(F.col("sets") > 1, 2 * F.col("n")).otherwise(0).alias("wide"), *SKETCH)
     units = labelled.select("gid", "part").distinct()
     spread = listed.select("token", "gid").join(units, "gid")
     many = spread.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("token")
     spread = stash(spread.join(many, "token").join(lead, "gid"), "spread")
     left, right = _prefixed(spread, "l_"), _prefixed(spread, "r_")
     fit = F.expr(_may_link(("l_n", "r_n"), ("l_", "r_"), percent, "l_wide + r_wide"))
-    pairs = left.join(right, (left.l_token == right.r_token) & F.expr("l_part < r_part") & fit).select("l_gid", "l_part", "r_gid", "r_part")
+    # groups meet under a token and a size class, of which only neighbours can reach the threshold
+    right = right.withColumn("near", F.explode(F.array(F.col("r_size") - 1, F.col("r_size"), F.col("r_size") + 1)))
+    pairs = left.join(right, F.expr("l_token = r_token AND l_size = near AND l_part < r_part") & fit).select("l_gid", "l_part", "r_gid", "r_part")
     crowd = _prefixed(units.join(labelled.where("sets > 1").select("gid").distinct(), "gid", "left_semi"), "l_")
     peers = crowd.select(F.col("l_gid").alias("r_gid"), F.col("l_part").alias("r_part"))
     inside = crowd.join(peers, F.expr("l_gid = r_gid AND l_part < r_part")).select("l_gid", "l_part", "r_gid", "r_part")
@@ -242,28 +237,50 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     final = components(linked.unionByName(more), "a", "b")
     named = reps.join(final, reps.set_key == final.node, "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("part"))
     named = stash(named, "named")
+    drop(reps, groups, listed, first, linked, labelled, spread, pairs, second, more, members)
+    return table, named
+
+
+def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text; others ignored).
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, a set holds the distinct ``k``-word
+    shingles, and two documents link when 100 * intersection >= percent * union. component_id is the
+    smallest doc_id that links reach. A null text and one without words have n_shingles 0 and link
+    with nothing. A null doc_id keeps its row and links as any other, but names no component unless
+    all of its members have none (then null). Repeated rows link with each other, each keeps its
+    row, texts are taken whole, however long, and no rows give no rows.
+    """
+    table, named = _classes(docs, k, percent)
     lowest = stash(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "lowest")
     by_set = stash(named.join(lowest, "part").select("set_key", "component_id"), "by_set")
-    drop(reps, groups, listed, first, linked, labelled, spread, pairs, second, more, members, named, lowest)
+    drop(named, lowest)
     out = table.select("doc_id", "n", "set_key").join(by_set, "set_key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """One row of ``docs`` from each class of near copies, that of least doc_id; all other rows go.
+    """One row of ``docs`` from each class of near copies; all other rows go.
 
-    Rows without words stay. Where doc_id is null or repeated somewhere, rows are numbered first and
-    the least number stays, so that repeated rows are copies of each other too.
+    The row of least doc_id stays, nulls last, and of several such the one whose text's hash is least; so what
+    stays of a class depends on its own rows alone. Of rows alike in both, any one stays. Rows without words all stay.
     """
     columns = docs.columns
-    odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1)
-    if odd.count():
-        rows = stash(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("id")), "numbered")
-    else:
-        rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    classes = jaccard_classes(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), k, percent)
-    gone = broadcast_if(stash(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("id")), "gone"), BROADCAST_IDS)
-    return rows.join(gone, "id", "left_anti").select("row.*").select(*(F.col(f"`{c}`") for c in columns))
+    table, named = _classes(docs, k, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    rows = table.where("n > 0").select("set_key", "doc_id", "text_hash").join(named.select("set_key", "part"), "set_key")
+    rows = stash(rows.groupBy("part", "doc_id", "text_hash").agg(F.count("*").alias("times")), "alike")
+    first = rows.groupBy("part").agg(F.min(order).alias("least")).select("part", F.col("least.doc_id").alias("kept_id"), F.col("least.text_hash").alias("kept_hash"))
+    judged = rows.join(first, "part").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")))
+    judged = stash(judged.where("NOT stays OR times > 1").select("doc_id", "text_hash", "stays"), "judged")
+    drop(table, named, rows)
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    kept = whole.join(broadcast_if(judged, BROADCAST_IDS), same, "left_anti").select("row")
+    if judged.where("stays").limit(1).count():
+        repeated = whole.join(broadcast_if(judged.where("stays"), BROADCAST_IDS), same, "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates(["id", "hash"]).select("row"))
+    return kept.select("row.*").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

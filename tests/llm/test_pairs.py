@@ -61,6 +61,26 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(no_documents(spark)).count() == 0
 
 
+def test_one_repeated_id_changes_no_other_class(spark):
+    text = lambda i: " ".join(f"c{i}w{j}" for j in range(40))
+    rows = [(10 * i + j, text(i) + (" tail" if j == 1 else "")) for i in range(6) for j in (2, 1, 5)]
+    plain = {r.doc_id for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    odd = [*rows, (1, text(0) + " tail"), (None, text(1)), (None, text(7)), (None, text(7)), (12, text(9))]
+    for order in (odd, odd[::-1]):
+        kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()]
+        assert sorted(i for i, _ in kept if i is not None) == sorted(plain | {12}) == [1, 11, 12, 21, 31, 41, 51]
+        assert [t for i, t in kept if i is None] == [text(7)]
+
+
+def test_common_shingle_grows_linearly(spark):
+    """Rows of a shingle that one document in twenty has, and of one in all, meet in their size class only."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join([*("all of us " if i % 2 else "one in twenty ").split(), *(f"r{x}" for x in rng.integers(0, 10**6, int(rng.integers(5, 60))))])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(30)] + [(2000 + i, rows[i][1] + " end") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_classes(docs, 3, 90).collect())) == brute_jaccard(rows, 3, 90)
+
+
 def brute_cosine(vectors, least=0.95):
     fine = {i: np.array(v, float) for i, v in vectors if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     fine = {i: v / np.abs(v).max() for i, v in fine.items()}
@@ -129,7 +149,7 @@ def test_shard_counts_links():
     """Bounds count what comparing would, also where balls overlap and queries come from elsewhere."""
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 24))
-    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 24)) * 0.2, np.repeat(x[:1], 500, 0) + rng.normal(size=(500, 24)) * 0.25])
+    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 24)) * 0.2, np.repeat(x[:1], 600, 0) + rng.normal(size=(600, 24)) * 0.1, np.repeat(x[7:8], 80, 0) + rng.normal(size=(80, 24)) * 0.2])
     s, other = _shard(x), _unit(x[::3] + rng.normal(size=(len(x[::3]), 24)) * 0.1)
     assert len(s.hubs) < len(x) - 500
     for ids, q in ((s.ids, s.x), (np.arange(10**6, 10**6 + len(other)), other)):
