@@ -2,50 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import pickle
-import re
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, run_folder
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in one JVM."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            path = found.get()
-        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            path = f"file://{tempfile.gettempdir()}/checkpoints"
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return path.rstrip("/")
-
-
-def _delete(sc, path: str) -> None:
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def run_folder(spark: SparkSession) -> str:
-    """The application's folder for its tables; results read some of them, so they go when the application ends."""
-    sc = spark.sparkContext
-    path = f"{shared_dir(spark)}/quillmap/{sc.applicationId}"
-    if getattr(sc, "_quillmap_folder", None) != path:
-        sc._quillmap_folder = path
-        atexit.register(lambda: sc._jsc is not None and _delete(sc, path))
-    return path
-
-
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -65,7 +34,7 @@ def drop(*frames: DataFrame) -> None:
     """Delete stashed tables that no later plan reads."""
     for df in frames:
         if path := getattr(df, "_stash_path", None):
-            _delete(df.sparkSession.sparkContext, path)
+            delete(df.sparkSession, path)
 
 
 def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
