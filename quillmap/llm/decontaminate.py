@@ -22,29 +22,30 @@ from .words import ALNUM, Words, gram, slices
 #: Benchmark words that one pass holds; a larger benchmark takes more passes over the documents.
 BLOCK_WORDS = 2_000_000
 _LEAD = 3
-SPANS = "array<struct<item_id:bigint,start:bigint,n_words:bigint>>"
+SPANS = "array<struct<item_id:bigint,start:bigint,item_start:bigint,n_words:bigint>>"
 
 
 class Windows:
-    """Benchmark windows as rows of word hashes, with the keys that can start one."""
+    """Benchmark windows as rows of word hashes, with the keys that can start one.
+
+    Occurrence i is window ``rows[of[i]]`` at word ``place[i]`` of ``item[i]``; occurrences are sorted by window and begin at ``first``.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         w = Words(pa.array([t for _, t in items], pa.string()), ALNUM)
-        hashes, rows, ids, sizes = w.hashes(), [], [], []
-        for (item, _), a, b in zip(items, w.first[:-1], w.first[1:]):
-            size = min(window, b - a)
-            for i in range(a, b - size + 1 if size else a):
-                rows.append(np.concatenate([hashes[i : i + size], np.zeros(window - size, np.uint64)]))
-                ids.append(item)
-                sizes.append(size)
+        hashes, counts = w.hashes(), w.counts()
+        size = np.minimum(window, counts)
+        many = np.where(counts > 0, counts - size + 1, 0)
+        row = np.repeat(np.arange(len(items)), many)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        at = (w.first[:-1][row] + place)[:, None] + np.arange(window)
+        table = np.where(np.arange(window) < size[row][:, None], hashes[np.minimum(at, len(hashes) - 1)] if len(hashes) else np.uint64(0), np.uint64(0))
         self.window = window
-        table = np.array(rows, np.uint64).reshape(-1, window)
-        self.sizes = np.array(sizes, np.int64)
-        self.rows, which = np.unique(np.column_stack([table, self.sizes.astype(np.uint64)]), axis=0, return_inverse=True)
-        self.items: list[list] = [[] for _ in range(len(self.rows))]
-        for k, item in zip(which.ravel(), ids):
-            if item not in self.items[k]:
-                self.items[k].append(item)
+        self.rows, which = np.unique(np.column_stack([table, size[row].astype(np.uint64)]), axis=0, return_inverse=True)
+        order = np.argsort(which := which.ravel(), kind="stable")
+        ids = [i for i, _ in items]
+        self.item, self.place = [ids[r] for r in row[order]], place[order]
+        self.first = np.searchsorted(which[order], np.arange(len(self.rows) + 1))
         self.sizes, self.rows = self.rows[:, -1].astype(np.int64), self.rows[:, :-1]
         self.leads = {m: np.unique(gram(self.rows[take, :m].ravel(), m)[::m]) for m in range(1, _LEAD + 1) if len(take := np.flatnonzero(np.minimum(self.sizes, _LEAD) == m))}
 
@@ -96,17 +97,17 @@ def find_windows(texts: pa.Array, tests: Windows):
 
 
 def _spans(words: np.ndarray, found: np.ndarray, tests: Windows) -> list[dict]:
-    """Longest verbatim matches of one document: an item's overlapping or adjoining windows, joined."""
-    by_item: dict = {}
+    """Longest verbatim matches of one document: windows of an item that overlap or adjoin there as they do here, joined."""
+    runs: dict = {}
     for p, k in sorted(zip(words.tolist(), found.tolist())):
-        for item in tests.items[k]:
-            runs = by_item.setdefault(item, [])
-            end = p + int(tests.sizes[k])
-            if runs and p <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], end)
+        end = p + int(tests.sizes[k])
+        for i in range(tests.first[k], tests.first[k + 1]):
+            own = runs.setdefault((tests.item[i], p - int(tests.place[i])), [])
+            if own and p <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], end)
             else:
-                runs.append([p, end])
-    return [{"item_id": item, "start": a, "n_words": b - a} for item, runs in by_item.items() for a, b in runs]
+                own.append([p, end])
+    return [{"item_id": item, "start": a, "item_start": a - shift, "n_words": b - a} for (item, shift), own in runs.items() for a, b in own]
 
 
 def _blocks(benchmark: DataFrame):
@@ -125,7 +126,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """``docs`` with ``n_words`` and ``spans``, the benchmark's verbatim matches in each row.
 
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one
-    window. A span (item_id, start, n_words) joins an item's windows that overlap or adjoin. Null and
+    window. A span (item_id, start, item_start, n_words) is the same n_words words from word start of the text and from
+    word item_start of the item; it cannot be longer on either side. Texts are searched whole, however long. Null and
     empty texts have no words and no spans, items without words match nothing, an item with a null
     id is matched under that null, repeated items and repeated rows are reported alike, and columns
     of ``docs`` by these two names are replaced. An empty benchmark gives empty spans.
@@ -154,7 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                     for r in np.unique(rows):
                         a, b = np.searchsorted(rows, [r, r + 1])
                         spans[lo + r] = spans[lo + r] + _spans(words[a:b], found[a:b], t)
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64())]))
+                kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("item_id", "start", "item_start", "n_words")]))
                 replaced = {"n_words": pa.array(n_words), "spans": pa.array(spans, kind)}
                 yield pa.RecordBatch.from_arrays([replaced[c] if c in replaced else batch.column(batch.schema.get_field_index(c)) for c in kept], kept)
 

@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Shipped, small_batches
+from .store import Shipped, broadcast_if, small_batches, stash
 from .words import slices, text_bytes
 
 WINDOW, WIDTHS, FILTERS, EMBED, CLASSES = 256, (2, 3, 4), 16, 12, 64
-#: Labelled documents and windows of each that training reads at most.
-TRAIN_DOCS, TRAIN_WINDOWS = 4000, 6
+#: Labelled documents that training reads, in equal parts by label, and of each label at least if it has them; windows of each document at most.
+TRAIN_DOCS, TRAIN_EACH, TRAIN_WINDOWS = 4000, 50, 6
+#: Labels whose bounds are broadcast; more are joined by shuffling.
+BROADCAST_LABELS = 10_000
 
 
 def _byte_classes() -> np.ndarray:
@@ -97,11 +99,11 @@ class ByteConvNet:
         return np.concatenate([self.softmax(self.pooled(x[i : i + step])) for i in range(0, len(x), step)] or [np.empty((0, len(self.labels)), np.float32)])
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 500, batch: int = 128, rate: float = 0.01, seed: int = 11) -> None:
-        """Adam on the weighted cross-entropy; a max-pooled filter learns from the place it took."""
-        rng, m, v = np.random.default_rng(seed), {}, {}
+        """Adam on the cross-entropy of windows drawn by weight; a max-pooled filter learns from the place it took."""
+        rng, m, v, share = np.random.default_rng(seed), {}, {}, np.cumsum(weight.astype(np.float64))
         for t in range(1, steps + 1):
-            take = rng.integers(0, len(x), batch)
-            xb, yb, wb = x[take], y[take], weight[take]
+            take = np.searchsorted(share, rng.random(batch) * share[-1], side="right")
+            xb, yb, wb = x[take], y[take], np.ones(batch, np.float32)
             pooled, places = self.pooled(xb, True)
             active = np.maximum(pooled, 0)
             d = self.softmax(pooled)
@@ -126,12 +128,20 @@ class ByteConvNet:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> ByteConvNet | None:
-    """A network from labelled ``docs``: at most ``train_docs`` of them, those of least hash, and TRAIN_WINDOWS windows spread over each. None without labels."""
+    """A network from labelled ``docs``. None without labels.
+
+    It reads train_docs of them at most, in equal parts by label and TRAIN_EACH of a label that has them: those of
+    least hash; and of each at most TRAIN_WINDOWS windows, spread over the text. Labels weigh alike, so a rare one is learnt too.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    last = rows.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
-    if last is None:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labels = rows.select("lang").distinct().count()
+    if not labels:
         return None
+    each = max(TRAIN_EACH, train_docs // labels)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    bounds = rows.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= each).groupBy(F.col("lang").alias("label")).agg(F.max("h").alias("last"))
+    bounds = broadcast_if(stash(bounds, "bounds"), BROADCAST_LABELS)
 
     def sample(batches):
         for batch in batches:
@@ -143,8 +153,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 take = np.concatenate(take) if take else np.empty(0, int)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array([w.tobytes() for w in x[take]], pa.binary())], ["h", "lang", "window"])
 
-    seen = rows.where(F.col("h") <= last).mapInArrow(sample, "h long, lang string, window binary")
-    seen = seen.orderBy("h", "window").limit(train_docs * TRAIN_WINDOWS).toPandas()
+    some = rows.join(bounds, (rows.lang == bounds.label) & (rows.h <= bounds["last"])).select("h", "lang", "text")
+    seen = some.mapInArrow(sample, "h long, lang string, window binary")
+    seen = seen.orderBy("h", "window").limit(each * labels * TRAIN_WINDOWS).toPandas()
     if not len(seen):
         return None
     labels = sorted(set(seen["lang"]))
@@ -153,7 +164,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     weight = (len(y) / (len(labels) * np.bincount(y, minlength=len(labels))))[y].astype(np.float32)
     net = ByteConvNet(labels)
     if len(labels) > 1:
-        net.fit(x, y, np.minimum(weight, 20))
+        net.fit(x, y, weight)
     return net
 
 
@@ -172,7 +183,8 @@ def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text", keep_
 
     ``und`` with score 0 where the text is null, empty or holds no letter, and for every row if there
     is no network. All windows of a text count alike, so no part of a long text is left out. Columns
-    of ``docs`` by these two names are replaced; ties go to the first label in order.
+    of ``docs`` by these two names are replaced; ties go to the first label in order, repeated rows are
+    judged alike, and no rows give no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")

@@ -87,9 +87,11 @@ def source_draws(slim: DataFrame, seed: int) -> DataFrame:
 def copies(docs: DataFrame, seed: int = 20240229) -> DataFrame:
     """``docs`` with ``size, source_size, target`` of its source and ``copies`` to emit.
 
-    rate = target / source_size; a row is emitted floor(rate) times, and once more with probability
-    rate - floor(rate), drawn from a hash of ``seed`` and doc_id (of the text where that is null), so that
-    reruns and any partitioning agree; repeated rows draw alike. A null text has size 0 and its row is mixed like
+    rate = target / source_size; a row is emitted floor(rate) times, and once more where a draw from a hash of ``seed``
+    and doc_id (of the text where that is null) is below rate - floor(rate); reruns and any
+    partitioning agree, and repeated rows draw alike. Every one of a source's DRAWS sets of draws has
+    that probability; the set taken is the one whose words come nearest to the target, so given the
+    others a row's copy depends a little on its size. Texts count whole, however long, and no rows give no rows. A null text has size 0 and its row is mixed like
     the rest of its source; a source without words has target 0 and none of its rows is emitted.
     Columns of ``docs`` by these names are replaced.
     """

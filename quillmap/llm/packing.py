@@ -131,7 +131,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABU
     ``doc_ids[i]`` from its token ``doc_starts[i]`` on. Texts longer than a row are split into whole
     rows and a rest, so nothing is lost: a document's segments by doc_starts are its tokens and
     ``end`` (None: no end token). A null text gives nothing, an empty one its end token alone.
-    Repeated rows are packed once each; a null doc_id is kept as null. A task packs its documents a
+    Repeated rows are packed once each, segments of one length in order of arrival, a null doc_id is kept as null, and no rows give no rows. A task packs its documents a
     shard of about ``shard_tokens`` at a time, so memory is bounded and nothing is shuffled; (shard,
     row) names a matrix row.
     """
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, vocabulary: str = VOCABU
     with open(vocabulary, "rb") as f:
         content = f.read()
     shared = spark.sparkContext.broadcast(content)
-    size = max(int(line.split()[1]) for line in content.splitlines()[-1:] if line)
+    size = max(int(line.split()[1]) for line in content.splitlines() if line)
     kind = np.dtype("<u2") if max(size, end or 0, pad, row_tokens) < 1 << 16 else np.dtype("<u4")
 
     def run(batches):

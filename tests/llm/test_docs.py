@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from quillmap.llm import decontaminate, language_id, mixing, packing
 from quillmap.llm.queries import QUERIES
@@ -66,6 +65,24 @@ def test_contamination_of_odd_rows(spark, monkeypatch, block_words, tmp_path):
     assert decontaminate.find_contamination(no_documents(spark), bench).count() == 0
 
 
+def test_matches_are_verbatim(spark):
+    """Item words 0-9 followed by 20-29 are two matches; each is maximal and the same words on both sides."""
+    w = [f"b{i}" for i in range(40)]
+    item, text = " ".join(w), " ".join(["x", *w[:10], *w[20:30], "y", *w[5:33]])
+    d, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    spans = decontaminate.find_contamination(d, bench).first().spans
+    assert {(s.start, s.item_start, s.n_words) for s in spans} == {(1, 0, 10), (11, 20, 10), (22, 5, 28)}
+    assert all(text.split()[s.start : s.start + s.n_words] == w[s.item_start : s.item_start + s.n_words] for s in spans)
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, "the quick and the dead of it all " * 3, "en") for i in range(3000)] + [(9000 + i, "der schnelle und die müden äpfel " * 3, "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs.where("doc_id > 2990"), language_id.train(docs)).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+
 # language
 
 
@@ -228,7 +245,7 @@ def test_pipeline(spark, sf_dir):
     one = stages[0](spark, docs, sf_dir)
     assert one.columns == columns and {r.doc_id for r in one.collect()} >= {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text) and len(r.text) > 200}
     two = stages[1](spark, one, sf_dir)
-    label = {i: c for i, _, c in brute_jaccard([(r.doc_id, r.text) for r in one.collect()])}
+    label = {i: c for i, _, c in brute_jaccard([(r.doc_id, r.text) for r in one.collect()], 5, 80)}
     assert two.columns == columns and sorted(r.doc_id for r in two.collect()) == sorted(i for i, c in label.items() if i == c)
     three = stages[2](spark, two, sf_dir)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -241,4 +258,24 @@ def test_pipeline(spark, sf_dir):
     assert sum(r.n_tokens for r in packed) == sum(len(encode(r.text)) + 1 for r in four.collect())
     for stage in stages:
         assert stage(spark, no_documents(spark).select(columns), sf_dir).count() == 0
-    assert F is not None
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, repeats and clashing columns: each stage keeps or drops whole rows."""
+    import corpus_pipeline
+
+    odd = odd_documents(spark)
+    rows = {tuple(r) for r in odd.collect()}
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns
+        found = out.collect()
+        assert {tuple(r) for r in found} <= rows
+        kept[name] = sorted((r.doc_id or 0, r.text or "") for r in found)
+    assert not {5, 6, 7, 13} & {i for i, _ in kept["language_id"]}
+    near = [i for i, _ in kept["ngram_jaccard_join"]]
+    assert near.count(1) == near.count(5) == near.count(8) == near.count(11) == 1 and not {2, 3, 9, 12} & set(near)
+    assert len(kept["benchmark_decontamination"]) == odd.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).collect()
+    assert {i for r in packed for i in r.doc_ids} == {i for i, t in ((r.doc_id, r.text) for r in odd.collect()) if t is not None}
