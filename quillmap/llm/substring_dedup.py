@@ -14,6 +14,8 @@ that it keeps for another one, so no repeated passage vanishes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ LEAST_WORDS = 50
 BLOCK = 29
 #: Words that a passage can reach beyond its first and last chosen shingle.
 MARGIN = LEAST_WORDS - BLOCK
+#: Two documents that share LEAST_WORDS words across a point share CORE words across it, with these parts to its right or left.
+CORE, PARTS = LEAST_WORDS - 6, tuple(range(1, MARGIN + 1, 7))
 #: Rows of a band; the number of bands follows from the recall wanted at the threshold.
 ROWS, RECALL = 4, 0.98
 LANES = 8
@@ -259,7 +263,14 @@ def _surroundings(batches):
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "left", "right"])
 
 
-_SPAN = "doc_id long, start long, n_words long, class long, source_doc_id long, source_start long, before array<long>, after array<long>, lacks_left boolean, lacks_right boolean"
+_SPAN = "doc_id long, start long, n_words long, class long, source_doc_id long, source_start long, before array<long>, after array<long>, lacks_left boolean, lacks_right boolean, cores_left array<long>, cores_right array<long>"
+
+
+def _cores(core: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Hashes of the CORE words from each of ``first`` (n, len(PARTS)) on; null where the text, ``begin`` to ``end``, has not so many."""
+    inside = (first >= begin[:, None]) & (first + CORE <= end[:, None])
+    values = core[np.where(inside, first, 0)] if len(core) else np.zeros(first.shape, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * len(PARTS)), pa.array(values.ravel().view(np.int64), mask=~inside.ravel()))
 
 
 def _extended(batches):
@@ -294,7 +305,10 @@ def _extended(batches):
             back = np.concatenate([[1], np.minimum.accumulate((base + a)[others][np.argsort(-(base + b)[others], kind="stable")])]) if len(others) else np.array([1])
             count = np.searchsorted(last, -(base + a + 7), side="right")
             lacks_left = (count == 0) | (back[count] >= base + a)
-            columns = [doc_id, *(pa.array(x) for x in (a, b - a, kind, source, there - left)), *more, pa.array(lacks_left & (source != doc_id.to_numpy())), pa.array(lacks_right & (source != doc_id.to_numpy()))]
+            core, begin, end, parts = rolling(h, CORE), w.first[:-1][row], w.first[1:][row], np.array(PARTS)
+            cores = [_cores(core, begin, end, (begin + a)[:, None] - parts), _cores(core, begin, end, (begin + b)[:, None] + parts - CORE)]
+            lacks = [pa.array(x & (source != doc_id.to_numpy())) for x in (lacks_left, lacks_right)]
+            columns = [doc_id, *(pa.array(x) for x in (a, b - a, kind, source, there - left)), *more, *lacks, *cores]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -304,14 +318,18 @@ def _tails(spans: DataFrame) -> DataFrame:
     Documents that leave one source at one point are compared by the words that follow there, in reading
     order to the right and against it to the left; one that no other run of its own covers there takes the longest
     run of them that a lesser one has. A row begins BLOCK words before that point, where all of them agree with the source.
+    Only documents that share CORE words across that point with another one are compared, as all do that share a window there.
     """
     key = ["source_doc_id", "stop", "right"]
     end, there = F.col("start") + F.col("n_words"), F.col("source_start") + F.col("n_words")
-    right = spans.select("doc_id", "class", "source_doc_id", there.alias("stop"), F.lit(True).alias("right"), end.alias("at"), F.col("after").alias("more"), F.col("lacks_right").alias("lacks"))
-    left = spans.select("doc_id", "class", "source_doc_id", F.col("source_start").alias("stop"), F.lit(False).alias("right"), F.col("start").alias("at"), F.col("before").alias("more"), F.col("lacks_left").alias("lacks"))
-    ends = right.unionByName(left).where("size(more) > 0").withColumn("first", F.col("more")[0])
-    met = ends.groupBy(*key, "first").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("lacks").alias("lacking")).where("low < high AND lacking").select(*key, "first")
-    ends = ends.join(stash(met, "met"), [*key, "first"])
+    right = spans.select("doc_id", "class", "source_doc_id", there.alias("stop"), F.lit(True).alias("right"), end.alias("at"), F.col("after").alias("more"), F.col("lacks_right").alias("lacks"), F.col("cores_right").alias("cores"))
+    left = spans.select("doc_id", "class", "source_doc_id", F.col("source_start").alias("stop"), F.lit(False).alias("right"), F.col("start").alias("at"), F.col("before").alias("more"), F.col("lacks_left").alias("lacks"), F.col("cores_left").alias("cores"))
+    ends = right.unionByName(left).where("size(more) > 0")
+    cores = reduce(DataFrame.unionByName, (ends.select(*key, "doc_id", "at", "lacks", F.lit(i).alias("part"), F.col("cores")[i].alias("core")).where("core IS NOT NULL") for i in range(len(PARTS))))
+    met = cores.groupBy(*key, "part", "core").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("lacks").alias("lacking")).where("low < high AND lacking")
+    met = stash(met.select(*key, "part", "core"), "met")
+    there = stash(cores.join(met, [*key, "part", "core"]).select(*key, "doc_id", "at").distinct(), "there")
+    ends = ends.drop("cores").join(there, [*key, "doc_id", "at"])
     prefixes = ends.select(*key, "doc_id", "class", "at", "lacks", F.posexplode(F.expr("transform(sequence(1, size(more)), n -> xxhash64(slice(more, 1, n)))")).alias("n", "prefix"))
     prefixes = stash(prefixes.withColumn("n", F.col("n") + 1), "prefixes")
     least = prefixes.groupBy(*key, "n", "prefix").agg(F.min(F.struct("doc_id", "at")).alias("low"))
@@ -322,7 +340,7 @@ def _tails(spans: DataFrame) -> DataFrame:
         F.col("x.low.doc_id").alias("source_doc_id"), (F.col("x.low.at") - back).alias("source_start"),
     )
     tails = stash(tails, "tails")
-    drop(prefixes)
+    drop(prefixes, met, there)
     return tails
 
 
@@ -401,7 +419,7 @@ def window_matches(docs: DataFrame) -> DataFrame:
     spans = stash(docs.join(joined, "doc_id").select("doc_id", "text", "runs").mapInArrow(_extended, _SPAN), "spans")
     drop(runs, places, around)
     tails = _tails(spans)
-    rows = spans.where("doc_id <> source_doc_id").drop("before", "after", "lacks_left", "lacks_right").unionByName(tails)
+    rows = spans.where("doc_id <> source_doc_id").select(*tails.columns).unionByName(tails)
     rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "n_words", "source_doc_id", "source_start", "class"))).alias("rows"))  # one document's
     matches = stash(rows.mapInArrow(_cover, "doc_id long, start long, n_words long, source_doc_id long, source_start long, class long"), "matches")
     drop(spans, tails)
