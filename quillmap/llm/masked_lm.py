@@ -21,7 +21,7 @@ from .store import Shipped, drop, small_batches, stash
 from .words import ALNUM, Words, mix, slices
 
 #: Classes in all, and those for several words; 0 is the edge of a document.
-CLASSES, SHARED = 256, 128
+CLASSES, SHARED = 128, 64
 #: Words on either side, and hidden units.
 SIDE, HIDDEN = 2, 32
 OFFSETS = tuple(o for o in range(-SIDE, SIDE + 1) if o)
