@@ -1,16 +1,20 @@
 """N-gram Jaccard self-join by grouped prefixes.
 
 Documents with the same shingle set collapse first, then sets with the same prefix and size form
-one group. Groups that share a prefix shingle and whose sizes allow the threshold are candidates;
-they are expanded to their members and verified exactly on whole sets. Before groups are paired,
-every posting list is verified against one hub, and groups that this joins into one component
-are not paired again, so a large group of near copies costs its size and not its square. A parity
-sketch of each set bounds the symmetric difference from below, so that most pairs that must fail
-never leave the join.
+one group. Prefixes are rarest first by counts over all documents. Groups that share a prefix shingle are
+candidates, if their sizes and the shingle's places leave room for the threshold; they are expanded to their
+members and verified exactly on whole sets. Posting lists are short or long. Of short ones groups are paired
+as they are, so that a shingle shared by chance moves a few numbers and no sketch. Every long list is
+verified against one hub before, the group whose prefix is most frequent: edits are rare shingles, so that
+is what the others were copied from. Groups that this joins into one component are not paired again, so a large
+group of near copies costs its size and not its square. A parity sketch of each set bounds the symmetric
+difference from below, so that most pairs that must fail never leave the join.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,10 +24,10 @@ from .components import components
 from .store import broadcast_if, drop, small_batches, stash
 from .words import mix, shingle_sets
 
-#: Cells of the frequency sketch that orders shingles; its size does not depend on the input.
-CELLS = 1 << 22
-#: A cell is reported by a partition in which this share of the documents (4 at least) hit it.
-SHARE = 0.0004
+#: Cells of the frequency sketch that orders shingles, and of the blocks that its counts are added in; its size does not depend on the input.
+CELLS, BLOCK = 1 << 24, 1 << 14
+#: Groups of a posting list that is short.
+SHORT = 8
 #: Longs of a parity sketch: bit b tells whether an odd number of shingles fall into cell b.
 LANES = 16
 SKETCH = [f"s{i}" for i in range(LANES)]
@@ -37,30 +41,47 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """For each sketch cell the bit length of its count over all documents, 0 where it is rare."""
+    """For each sketch cell a rank that grows with its count over all documents: eight times the binary logarithm."""
+
+    def packed(cells):
+        blocks = cells.reshape(-1, BLOCK)
+        for lo in range(0, len(blocks), 64):
+            hit = lo + np.flatnonzero(blocks[lo : lo + 64].any(axis=1))
+            # low bytes, then high bytes, which are mostly zero
+            counts = [zlib.compress(blocks[i].view(np.uint8).reshape(-1, 2).T.tobytes(), 1) for i in hit]
+            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(counts, pa.binary())], ["block", "counts"])
 
     def count(batches):
-        cells, rows = np.zeros(CELLS, np.int32), 0
+        cells, rows, pending, size = np.zeros(CELLS, np.uint16), 0, [], 0
         for batch in batches:
-            pending, size = [], 0
             for _, s in shingle_sets(batch.column(0), k):
                 pending.append(s)
-                size += len(s)
-                rows += 1
-                if size > CELLS // 2:
-                    cells += np.bincount((np.concatenate(pending) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
+                rows, size = rows + 1, size + len(s)
+                if size > 1 << 20 or rows == 65535:
+                    np.add.at(cells, (np.concatenate(pending) % np.uint64(CELLS)).astype(np.int64), np.uint16(1))
                     pending, size = [], 0
-            if pending:
-                np.add.at(cells, (np.concatenate(pending) % np.uint64(CELLS)).astype(np.int64), 1)
-        hit = np.flatnonzero(cells >= max(4, SHARE * rows))
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(cells[hit].astype(np.int64))], ["cell", "hits"])
-
-    seen = docs.select("text").mapInArrow(count, "cell int, hits long").groupBy("cell").agg(F.sum("hits").alias("hits"))
-    table = seen.toArrow()  # CELLS rows at most
-    ranks = np.zeros(CELLS, np.uint8)
-    hits = table.column("hits").to_numpy()
-    ranks[table.column("cell").to_numpy()] = np.ceil(np.log2(hits + 1)).astype(np.uint8)
-    return ranks
+                if rows == 65535:  # what a cell can count
+                    yield from packed(cells)
+                    cells[:], rows = 0, 0
+        if pending:
+            np.add.at(cells, (np.concatenate(pending) % np.uint64(CELLS)).astype(np.int64), np.uint16(1))
+        yield from packed(cells)
+
+    def ranked(table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for part in table.column("counts"):
+            low, high = np.frombuffer(zlib.decompress(part.as_py()), np.uint8).reshape(2, BLOCK)
+            total += low
+            total += high.astype(np.int64) << 8
+        ranks = np.minimum(np.round(8 * np.log2(total + 1)), 255).astype(np.uint8)
+        return pa.table([table.column("block")[:1], pa.array([ranks.tobytes()], pa.binary())], ["block", "ranks"])
+
+    counts = docs.select("text").mapInArrow(count, "block int, counts binary")
+    table = counts.groupBy("block").applyInArrow(ranked, "block int, ranks binary").toArrow()  # CELLS bytes at most
+    ranks = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
+    for block, row in zip(table.column("block").to_pylist(), table.column("ranks")):
+        ranks[block] = np.frombuffer(row.as_py(), np.uint8)
+    return ranks.ravel()
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -89,7 +110,7 @@ def _may_link(n: tuple[str, str], ends: tuple[str, str], percent: int, slack: st
 
 
 def shingle_table(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n, set_key, prefix_key, prefix (rarest first) and sketches of each document.
+    """doc_id, text_hash, n, set_key, prefix_key, prefix (rarest first), weight (mean rank of the prefix) and sketches of each document.
 
     Prefix shingles keep 32 bits: a collision there is one more candidate and changes no result.
     """
@@ -98,27 +119,29 @@ def shingle_table(docs: DataFrame, k: int, percent: int, ranks: np.ndarray) -> D
     def run(batches):
         rank = shared.value
         for batch in batches:
-            ns, keys, prefix_keys, prefixes, sketches, wide = [], [], [], [], [], []
+            ns, keys, prefix_keys, prefixes, weights, sketches, wide = [], [], [], [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n = len(s)
                 p = prefix_length(n, percent)
                 r = rank[(s % np.uint64(CELLS)).astype(np.int64)]
-                prefix = s[np.argsort(r, kind="stable")[:p]]
+                order = np.argsort(r, kind="stable")[:p]
+                prefix = s[order]
                 ns.append(n)
                 keys.append(fingerprint(s) if n else None)
                 prefix_keys.append(fingerprint(prefix) if n else None)
                 prefixes.append(prefix.astype(np.uint32).view(np.int32))
+                weights.append(int(1000 * r[order].mean()) if n else 0)
                 sketches.append(parity_sketch(s))
                 wide.append(parity_sketch(s, lanes) if (lanes := _wide_lanes(n)) else None)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int32)
             lanes = np.stack(sketches).T if sketches else np.empty((LANES, 0), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefix_keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(wide, pa.list_(pa.int64())), *(pa.array(x.copy()) for x in lanes)],
-                ["doc_id", "text_hash", "n", "set_key", "prefix_key", "prefix", "wide", *SKETCH],
+                [batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefix_keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(weights, pa.int32()), pa.array(wide, pa.list_(pa.int64())), *(pa.array(x.copy()) for x in lanes)],
+                ["doc_id", "text_hash", "n", "set_key", "prefix_key", "prefix", "weight", "wide", *SKETCH],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, set_key long, prefix_key long, prefix array<int>, wide array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, set_key long, prefix_key long, prefix array<int>, weight int, wide array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
 
 
 def _sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
@@ -184,7 +207,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     table = stash(shingle_table(docs, k, percent, frequency_ranks(docs, k)), "shingles")
 
     # one row for each set, one group for each prefix and size
-    firsts = [F.max(c).alias(c) for c in ("n", "prefix_key")] + [F.first(c).alias(c) for c in SKETCH]
+    firsts = [F.max(c).alias(c) for c in ("n", "prefix_key", "weight")] + [F.first(c).alias(c) for c in SKETCH]
     reps = table.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *firsts)
     reps = stash(reps, "reps")
     keyed = reps.groupBy("prefix_key", "n").agg(F.min("set_key").alias("gid"), F.count("*").alias("sets"))
@@ -192,14 +215,21 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     leaders = members.where("gid = set_key").drop("set_key")
     wanted = leaders.select(F.col("gid").alias("set_key"), "doc_id")
     prefixes = table.join(wanted, table.doc_id.eqNullSafe(wanted.doc_id) & (table.set_key == wanted.set_key), "left_semi")
-    groups = stash(prefixes.dropDuplicates(["set_key"]).select(F.col("set_key").alias("gid"), "prefix"), "groups")
-    posting = groups.select("gid", F.explode("prefix").alias("token"))
-    hubs = posting.groupBy("token").agg(F.min("gid").alias("hub"), F.max("gid").alias("top")).where("hub < top").select("token", "hub")
-    listed = stash(posting.join(hubs, "token"), "postings")
-
-    # one hub for each posting list, and for each group its own leader
+    groups = stash(prefixes.dropDuplicates(["set_key"]).select(F.col("set_key").alias("gid"), F.col("n").cast("int").alias("n"), "prefix"), "groups")
+
+    # a linked pair's first common shingle is in the prefix of both, and of the smaller set where an equal one can still link
+    posting = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
+    early = f"{100 + percent}L * (n - place) >= {2 * percent}L * n"
+    lists = posting.groupBy("token").agg(F.sum(F.expr(f"if({early}, 4294967297L, 1L)")).alias("both"))
+    lists = lists.select("token", F.expr("both & 4294967295L").alias("groups")).where("both >= 4294967296L AND groups > 1")
+    listed = stash(posting.join(lists, "token"), "postings")
+    long = listed.where(F.col("groups") > SHORT)
+    top = long.join(leaders.select("gid", "weight"), "gid").groupBy("token").agg(F.max(F.struct("weight", "gid")).alias("top"))
+    hubs = top.select("token", F.col("top.gid").alias("hub"))
+
+    # one hub for each long posting list, and for each group its own leader
     hub = _prefixed(leaders.select("gid", "n", *SKETCH), "h_")
-    to_hub = listed.select("gid", "hub").where("gid <> hub").distinct().join(members, "gid")
+    to_hub = long.join(hubs, "token").select("gid", "hub").where("gid <> hub").distinct().join(members, "gid")
     fit = F.expr(_may_link(("n", "h_n"), ("", "h_"), percent))
     stars = to_hub.join(hub, (to_hub.hub == hub.h_gid) & fit).select(F.col("hub").alias("a"), F.col("set_key").alias("b"))
     own = members.where("gid <> set_key").select(F.col("gid").alias("a"), F.col("set_key").alias("b"))
@@ -210,25 +240,28 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     parts = components(linked, "a", "b")
     labelled = members.join(parts, members.set_key == parts.node, "left").withColumn("part", F.coalesce("component", "set_key"))
     labelled = stash(labelled.drop("node", "component", "doc_id"), "labelled")
+    spans = stash(labelled.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")), "spans")
+    room = f"{100 + percent}L * least(l_n - l_place, r_n - r_place) >= {percent}L * (l_n + r_n) AND (l_n < r_n OR l_n = r_n AND l_gid < r_gid)"
+    short = listed.where(F.col("groups") <= SHORT).drop("groups")
+    left, right = _prefixed(short.where(early), "l_"), _prefixed(short, "r_")
+    few = left.join(right, F.expr(f"l_token = r_token AND 100L * l_n >= {percent}L * r_n AND {room}")).select("l_gid", "r_gid")
+    # of long lists groups meet under a token and a size class, of which only neighbours can reach the threshold
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(max(np.log(100 / percent), 1e-6) * 1.0001)).cast("int")
-    lead = labelled.where("gid = set_key").select("gid", "n", size_class.alias("size"), F.when(F.col("sets") > 1, 2 * F.col("n")).otherwise(0).alias("wide"), *SKETCH)
-    units = labelled.select("gid", "part").distinct()
-    spread = listed.select("token", "gid").join(units, "gid")
-    many = spread.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("token")
+    lead = labelled.where("gid = set_key").select("gid", size_class.alias("size"), F.when(F.col("sets") > 1, 2 * F.col("n")).otherwise(0).alias("wide"), *SKETCH)
+    spread = long.drop("groups").join(spans, "gid")
+    many = spread.groupBy("token").agg(F.min("low").alias("p"), F.max("high").alias("q")).where("p < q").select("token")
     spread = stash(spread.join(many, "token").join(lead, "gid"), "spread")
-    left, right = _prefixed(spread, "l_"), _prefixed(spread, "r_")
+    left, right = _prefixed(spread.where(early), "l_"), _prefixed(spread, "r_")
     fit = F.expr(_may_link(("l_n", "r_n"), ("l_", "r_"), percent, "l_wide + r_wide"))
-    # groups meet under a token and a size class, of which only neighbours can reach the threshold
-    right = right.withColumn("near", F.explode(F.array(F.col("r_size") - 1, F.col("r_size"), F.col("r_size") + 1)))
-    pairs = left.join(right, F.expr("l_token = r_token AND l_size = near AND l_part < r_part") & fit).select("l_gid", "l_part", "r_gid", "r_part")
-    crowd = _prefixed(units.join(labelled.where("sets > 1").select("gid").distinct(), "gid", "left_semi"), "l_")
-    peers = crowd.select(F.col("l_gid").alias("r_gid"), F.col("l_part").alias("r_part"))
-    inside = crowd.join(peers, F.expr("l_gid = r_gid AND l_part < r_part")).select("l_gid", "l_part", "r_gid", "r_part")
-    pairs = stash(pairs.unionByName(inside).distinct(), "pairs")
+    right = right.withColumn("near", F.explode(F.array(F.col("r_size") - 1, F.col("r_size"))))
+    met = F.expr(f"l_token = r_token AND l_size = near AND least(l_low, r_low) < greatest(l_high, r_high) AND {room}")
+    crowd = left.join(right, met & fit).select("l_gid", "r_gid")
+    inside = spans.where("low < high").select(F.col("gid").alias("l_gid"), F.col("gid").alias("r_gid"))
+    pairs = stash(few.unionByName(crowd).unionByName(inside).distinct(), "pairs")
     sets = labelled.select("gid", "part", "set_key", "n", *SKETCH)
-    ends = pairs.join(_prefixed(sets, "l_"), ["l_gid", "l_part"])
+    ends = pairs.join(_prefixed(sets, "l_"), "l_gid")
     far = _prefixed(sets, "x_")
-    fit = F.expr("r_gid = x_gid AND r_part = x_part AND " + _may_link(("l_n", "x_n"), ("l_", "x_"), percent))
+    fit = F.expr("r_gid = x_gid AND l_part <> x_part AND (l_gid <> r_gid OR l_set_key < x_set_key) AND " + _may_link(("l_n", "x_n"), ("l_", "x_"), percent))
     ends = ends.join(far, fit).select(F.col("l_set_key").alias("a"), F.col("x_set_key").alias("b"))
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = stash(ends.join(done, ["a", "b"], "left_anti"), "second")
@@ -237,7 +270,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     final = components(linked.unionByName(more), "a", "b")
     named = reps.join(final, reps.set_key == final.node, "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("part"))
     named = stash(named, "named")
-    drop(reps, groups, listed, first, linked, labelled, spread, pairs, second, more, members)
+    drop(reps, groups, listed, first, linked, labelled, spans, spread, pairs, second, more, members)
     return table, named
 
 

@@ -1,10 +1,12 @@
 """n-gram join and embeddings against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmap.llm import hnsw, ngram_join
 from quillmap.llm.queries import QUERIES
+from quillmap.llm.words import shingle_sets
 
 from .helpers import LONG, classes, no_documents, odd_documents, shingles, words
 
@@ -81,6 +83,52 @@ def test_common_shingle_grows_linearly(spark):
     assert sorted(map(tuple, ngram_join.jaccard_classes(docs, 3, 90).collect())) == brute_jaccard(rows, 3, 90)
 
 
+def test_shingles_are_counted_over_all_partitions(spark):
+    """A shingle that two documents of each partition have ranks as common, above those of one document."""
+    rows = [(i, "all of us " + " ".join(f"d{i}w{j}" for j in range(20))) for i in range(30)]
+    ranks = ngram_join.frequency_ranks(spark.createDataFrame(rows, "doc_id long, text string").repartition(15), 3)
+    (_, common), (_, own) = shingle_sets(pa.array(["all of us", rows[0][1].split(" ", 3)[3]]), 3)
+    rank = lambda s: ranks[(s % np.uint64(ngram_join.CELLS)).astype(np.int64)]
+    assert rank(common)[0] > rank(own).max() > 0
+
+
+def joined(spark, monkeypatch, rows, k, percent):
+    """Rows of the join's tables of sketches and of pairs; its result is held against brute force."""
+    made, keep = {}, ngram_join.stash
+
+    def counted(df, name="table"):
+        out = keep(df, name)
+        if name in ("spread", "pairs"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stash", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_classes(docs, k, percent).collect())) == brute_jaccard(rows, k, percent)
+    return made
+
+
+def test_chance_shingles_move_no_sketches(spark, monkeypatch):
+    """Shingles that a few groups share by chance, as in any large corpus, cost no row with a sketch."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 30, int(rng.integers(20, 60))))) for i in range(300)]
+    assert joined(spark, monkeypatch, rows, 3, 80)["spread"] == 0
+
+
+def test_copies_of_one_text_meet_at_it(spark, monkeypatch):
+    """Copies with edits of their own link with what they were copied from, wherever its hash falls, and are not paired."""
+    rng, rows = np.random.default_rng(13), []
+    for group in range(4):
+        base = [f"g{group}t{x}" for x in rng.integers(0, 10**6, 150)]
+        rows.append((100 * group, " ".join(base)))
+        for i in range(1, 41):
+            copy = list(base)
+            for at in rng.choice(150, int(rng.integers(1, 4)), replace=False):
+                copy[at] = f"e{group}x{i}x{at}"
+            rows.append((100 * group + i, " ".join(copy)))
+    assert joined(spark, monkeypatch, rows, 5, 80)["pairs"] <= len(rows)
+
+
 def brute_cosine(vectors, least=0.95):
     fine = {i: np.array(v, float) for i, v in vectors if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     fine = {i: v / np.abs(v).max() for i, v in fine.items()}
