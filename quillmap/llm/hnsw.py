@@ -1,18 +1,24 @@
-"""Embedding near-duplicates with one hierarchical navigable small-world graph per shard.
+"""Embedding near-duplicates through a hierarchical navigable small-world graph of pivots, and one per large shard.
 
-Exact copies collapse first. Every shard is built in one task of bounded bytes: its vectors gather in balls of half
-the linking angle around hubs, so that all of a ball are linked, and a graph leads to the hubs. Then every
-vector queries every shard. The angle to a hub bounds those to its ball, and only members that the bounds leave
-open are compared; so a group of near copies costs its size and not its square. A query's answer is
-the number of vectors that it links with and one edge for each class of the shard's own.
+Exact copies collapse first. A bounded sample of vectors are pivots, and their graph leads every vector to the
+pivot nearest to it, its home, and to the others that are nearer than a margin allows. The vectors of one home are a shard, or
+several of bounded bytes, and every vector queries its home's and those of the others. The margin is widened until sampled
+queries, compared with all vectors, and pairs drawn at the linking angle itself have enough of their links in what they query.
 
-Every task audits itself: some of its own queries are compared with the whole shard, and the beam is widened until
-enough of their links are found; if no beam does it, the task compares its queries with all hubs.
+In a shard vectors gather in balls of half the linking angle around hubs, so that all of a ball are linked.
+A graph leads to the hubs; in a shard of up to FLAT vectors its lowest level holds them all. The angle to a hub bounds
+those to its ball, and only members that the bounds leave open are compared; so a group of near copies costs its size
+and not its square. A query's answer is the number of vectors that it links with and one edge for each class of the shard's own.
+
+Every task with a graph audits itself: some of its own queries are compared with the whole shard, and the beam is widened until
+enough of their links are found; if no beam does it, the task compares its queries with all hubs. In the end the links found
+of the sampled queries are held against all that they have.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import drop, small_batches, stash
+from .store import Shipped, drop, small_batches, stash
 
 #: Neighbours of a vector on each upper level; twice as many on the lowest.
 LINKS = 12
-#: Bytes of a shard's vectors and links and of a task's queries at most, and shards at least.
-SHARD_BYTES, QUERY_BYTES, LEAST_SHARDS = 96 << 20, 48 << 20, 6
+#: Bytes of a shard's vectors and links and of a task's queries at most; vectors up to which a shard needs no graph.
+SHARD_BYTES, QUERY_BYTES, FLAT = 96 << 20, 48 << 20, 1 << 15
+#: Vectors of a home on average at least; bytes of the sample that pivots come from, and of the queries compared with all vectors, at most.
+HOME_ROWS, PIVOT_BYTES, SAMPLE_BYTES = 2048, 16 << 20, 4 << 20
+#: Pivots that a vector's search holds at first; rows that are sent to shards at a time, for each vector and at least.
+PIVOT_BEAM, SENT, LEAST_SENT = 32, 1.5, 1_000_000
 #: Beam at first; mean recall over the audited queries with links to others that ends its widening, with few links and with many apart.
 FIRST_BEAM, AUDIT_RECALL, LEAST_RECALL = 24, 0.995, 0.9
 #: Links up to which a query has few; queries of either kind that an audit looks for, and queries that it compares at most.
@@ -38,15 +48,16 @@ _BLOCK = 512
 class Graph:
     """Unit vectors ``x``, their level-wise neighbours (-1: none), entry point and beam."""
 
-    def __init__(self, x: np.ndarray, seed: int = 5):
+    def __init__(self, x: np.ndarray, seed: int = 5, flat: bool = False):
         self.x = np.ascontiguousarray(x, np.float32)
-        n = len(x)
+        self.beam, self.entry, n = FIRST_BEAM, -1, len(x)
+        self.dense = flat  # compare with everything
+        if flat:
+            return
         draws = np.random.default_rng(seed).random(n)
         self.level = np.minimum((-np.log(np.maximum(draws, 1e-12)) / math.log(LINKS)).astype(np.int64), 6)
         top = int(self.level.max(initial=0))
         self.links = [np.full((n, LINKS * (2 if lv == 0 else 1)), -1, np.int32) for lv in range(top + 1)]
-        self.beam, self.entry = FIRST_BEAM, -1
-        self.dense = False  # compare with everything
         order = np.argsort(-self.level, kind="stable")
         at = 0
         while at < n:
@@ -54,17 +65,6 @@ class Graph:
             self._insert(batch)
             at += len(batch)
 
-    @classmethod
-    def load(cls, x: np.ndarray, links: bytes, levels: int, entry: int) -> Graph:
-        """A graph from what a shard's row holds."""
-        g, flat, at = cls.__new__(cls), np.frombuffer(links, np.int32), 0
-        g.x, g.beam, g.entry, g.links, g.dense = x.astype(np.float32), FIRST_BEAM, entry, [], False
-        for lv in range(levels):
-            size = len(x) * LINKS * (1 if lv else 2)
-            g.links.append(flat[at : at + size].reshape(len(x), -1))
-            at += size
-        return g
-
     def _insert(self, batch: np.ndarray) -> None:
         x = self.x[batch]
         mutual = x @ x.T
@@ -180,6 +180,18 @@ class Graph:
             live = live[open_[live].any(axis=1)]
         return ids, sims
 
+    def nearest(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and similarities of the ``beam`` nearest that the graph leads to, best first, -1 where there are fewer."""
+        ids, sims = [np.empty((0, beam), np.int32)], [np.empty((0, beam), np.float32)]
+        for a in range(0, len(q), block := _step(len(self.x))):
+            part = np.ascontiguousarray(q[a : a + block], np.float32)
+            start = np.full(len(part), self.entry)
+            for lv in range(len(self.links) - 1, 0, -1):
+                start = self._search(part, start, lv, 4)[0][:, 0]
+            for out, found in zip((ids, sims), self._search(part, start, 0, beam)):
+                out.append(found)
+        return np.concatenate(ids), np.concatenate(sims)
+
     def near(self, q: np.ndarray, least: float, beam: int | None = None):
         """(query, vector) arrays of all similarities of ``least`` or more that the graph leads to.
 
@@ -240,13 +252,12 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1), np.float32)
 
 
-SHARD = "shard int, entry int, levels int, ids binary, copies binary, vectors binary, hubs binary, hub_of binary, links binary, classes binary"
 FOUND = "vec_id long, other long, n long, recall double"
 
 
@@ -262,9 +273,9 @@ class Shard:
     hub by its place in ``hubs``.
     """
 
-    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, least: float):
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, least: float, flat: bool = False):
         self.ids, self.copies, self.x = ids, copies, x
-        everything = Graph(x)
+        everything = Graph(x, flat=flat)
         self.hub_of, hubs = np.full(len(x), -1), []
         ball = math.cos(math.acos(least) / 2 - _EPS)
         order, at, size = np.random.default_rng(11).permutation(len(x)), 0, 32
@@ -284,7 +295,7 @@ class Shard:
                     hubs.append(i)
             size = min(512, 2 * size) if len(a) <= 8 * len(block) else 32
         self.hubs = np.array(hubs, np.int64)
-        self.graph = everything if len(hubs) == len(x) and (self.hubs == np.arange(len(x))).all() else Graph(x[self.hubs])
+        self.graph = everything if len(hubs) == len(x) and (self.hubs == np.arange(len(x))).all() else Graph(x[self.hubs], flat=flat)
         self._arrange(least)
         self.label = np.empty(0, np.int64)
         label = self.hubs[self.hub_of]
@@ -295,15 +306,6 @@ class Shard:
                 label = _classes(pairs[:, 0], pairs[:, 1], len(x))[label]
         self.label = label
 
-    @classmethod
-    def load(cls, row: dict, least: float, kind: str) -> Shard:
-        s = cls.__new__(cls)
-        s.ids, s.copies, s.hubs, s.hub_of, s.label = (np.frombuffer(row[k], np.int64) for k in ("ids", "copies", "hubs", "hub_of", "classes"))
-        s.x = _units(np.frombuffer(row["vectors"], kind).reshape(len(s.ids), -1))
-        s.graph = Graph.load(s.x[s.hubs], row["links"], row["levels"], row["entry"])
-        s._arrange(least)
-        return s
-
     def _arrange(self, least: float) -> None:
         """Members by hub and angle to it; the copies up to each."""
         self.least, self.angle = least, math.acos(least)
@@ -376,32 +378,86 @@ class Shard:
             if min(((links > 0) & (links <= FEW_LINKS)).sum(), (links > FEW_LINKS).sum()) >= AUDITS:
                 break
         found = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        strata = [x for x in (found[(found[:, 1] > 0) & (found[:, 1] <= FEW_LINKS)], found[found[:, 1] > FEW_LINKS]) if len(x)]
+        found = found[found[:, 1] > 0]
         while True:
-            recall = min((float(np.minimum(self.ask(ids[x[:, 0]], q[x[:, 0]])[0] / x[:, 1], 1.0).mean()) for x in strata), default=1.0)
+            recall = _recalls(self.ask(ids[found[:, 0]], q[found[:, 0]])[0], found[:, 1])
             if recall >= AUDIT_RECALL or self.graph.dense:
                 return recall
             self.graph.beam *= 2
             self.graph.dense = self.graph.beam >= len(self.hubs)
 
 
-def _build(table: pa.Table, least: float) -> pa.Table:
-    """A shard as one row."""
-    order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
-    raw = _matrix(table.column("vector"))[order]
-    s = Shard(table.column("vec_id").to_numpy()[order], table.column("copies").to_numpy()[order], _units(raw), least)
-    parts = {"ids": s.ids, "copies": s.copies, "vectors": raw, "hubs": s.hubs, "hub_of": s.hub_of.astype(np.int64), "links": np.concatenate([t.ravel() for t in s.graph.links]), "classes": s.label}
-    row = {"shard": table.column("shard")[0].as_py(), "entry": s.graph.entry, "levels": len(s.graph.links)} | {k: v.tobytes() for k, v in parts.items()}
-    return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("entry", pa.int32()), ("levels", pa.int32()), *((k, pa.binary()) for k in parts)]))
+def _recalls(found: np.ndarray, links: np.ndarray) -> float:
+    """Mean share of ``links`` found, of queries that have any; the lesser of that of queries with few and of those with many."""
+    strata = [x for x in ((links > 0) & (links <= FEW_LINKS), links > FEW_LINKS) if x.any()]
+    return min((float(np.minimum(found[x] / links[x], 1.0).mean()) for x in strata), default=1.0)
 
 
-def _ask(queries: pa.Table, index: pa.Table, least: float) -> pa.Table:
+class Router:
+    """A graph of ``pivots`` that no angle up to the linking one joins.
+
+    A vector's home is the pivot nearest to it, and it asks those that are less near by ``margin`` at most, of the
+    ``beam`` nearest. Both start so that ``q``, none of them a pivot, meet vectors at the linking angle in random directions.
+    """
+
+    def __init__(self, sample: np.ndarray, pivots: int, q: np.ndarray, least: float):
+        x, chosen = sample.astype(np.float32), []
+        free = np.ones(len(x), bool)
+        for i in range(len(x)):
+            if free[i] and len(chosen) < pivots:
+                chosen.append(i)
+                free &= x @ x[i] < least
+        self.graph, self.beam, self.margin = Graph(sample[chosen]), min(PIVOT_BEAM, len(chosen)), 0.0
+        turn = np.random.default_rng(13).normal(size=q.shape)
+        turn -= np.einsum("ad,ad->a", q, turn)[:, None] * q
+        turn /= np.maximum(np.sqrt((turn * turn).sum(axis=1, keepdims=True)), 1e-9)
+        one = np.ones(len(q))
+        self.widen(q, np.arange(len(q)), self.homes(least * q + math.sqrt(max(0.0, 1 - least * least)) * turn), one, one)
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        return self.graph.nearest(x, self.beam)[0][:, 0]
+
+    def asks(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pivots (n, beam) near each query, its home first, and which of them it asks."""
+        ids, sims = self.graph.nearest(q, self.beam)
+        return ids, (ids >= 0) & (sims >= sims[:, :1] - self.margin)
+
+    def widen(self, q: np.ndarray, of: np.ndarray, homes: np.ndarray, copies: np.ndarray, links: np.ndarray) -> None:
+        """Widen margin and beam until queries ask the homes of AUDIT_RECALL of their ``links``: ``copies`` of query ``of`` at ``homes``."""
+        while len(of):
+            ids, asked = self.asks(q)
+            met = ((ids[of] == homes[:, None]) & asked[of]).any(axis=1)
+            if _recalls(np.bincount(of, weights=copies * met, minlength=len(q)), links) >= AUDIT_RECALL or (self.margin > 2 and self.beam == len(self.graph.x)):
+                return
+            if self.margin > 2 or asked[:, -1].mean() > 0.02:  # the beam ends before the margin does
+                self.beam = min(2 * self.beam, len(self.graph.x))
+            self.margin = max(0.01, 1.15 * self.margin)
+
+
+def _fine(batches, kind: str):
+    """``vec_id, vector``: vectors that can link, without negative zeros, and null for the others."""
+    for batch in batches:
+        v = batch.column(1)
+        size = np.where(v.is_valid().to_numpy(zero_copy_only=False), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+        x = v.flatten().cast(pa.float32() if kind == "float" else pa.float64()).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        odd, some = (np.concatenate([[0], np.cumsum(flag)])[ends] for flag in (~np.isfinite(x), x != 0))
+        fine = (size > 0) & (np.diff(odd) == 0) & (np.diff(some) > 0) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        kept = pa.array(x[np.repeat(fine, size)] + x.dtype.type(0))
+        offsets = np.concatenate([[0], np.cumsum(size * fine)]).astype(np.int32)
+        # a null's offset is its row's
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~fine, False)), kept)], ["vec_id", "vector"])
+
+
+def _ask(queries: pa.Table, members: pa.Table, least: float) -> pa.Table:
     """Of each query, an edge to each class of the shard that it links into, and its number of links there; and the audit's recall."""
     vec, other, many, recall = [], [], [], []
-    if index.num_rows and queries.num_rows:
-        raw = _matrix(queries.column("vector"))
-        s, mine, q = Shard.load(index.slice(0, 1).to_pylist()[0], least, raw.dtype.str), queries.column("vec_id").to_numpy(), _units(raw)
-        recall.append(s.audit(mine, q))
+    if members.num_rows and queries.num_rows:
+        order = np.argsort(members.column("vec_id").to_numpy(), kind="stable")
+        ids, copies, x = members.column("vec_id").to_numpy()[order], members.column("copies").to_numpy()[order], _units(_matrix(members.column("vector"))[order])
+        s, mine, q = Shard(ids, copies, x, least, len(ids) <= FLAT), queries.column("vec_id").to_numpy(), _units(_matrix(queries.column("vector")))
+        if not s.graph.dense:
+            recall.append(s.audit(mine, q))
         n, heads = s.ask(mine, q)
         hit = np.flatnonzero(n)
         vec, many = [mine[heads[:, 0]], mine[hit]], [np.zeros(len(heads), np.int64), n[hit]]
@@ -412,12 +468,85 @@ def _ask(queries: pa.Table, index: pa.Table, least: float) -> pa.Table:
     return pa.concat_tables([rows, audits])
 
 
+def _route(part: DataFrame, n: int, width: int, least: float) -> tuple[Router, np.ndarray, np.ndarray]:
+    """A router for the ``n`` rows of ``part``; ids of queries compared with all of them, and their numbers of links."""
+    spark = part.sparkSession
+    pivots = max(1, min(int(3 * math.cbrt(n)), n // HOME_ROWS, PIVOT_BYTES // (2 * width)))
+    most = max(1, min(MOST_AUDITED // 2, SAMPLE_BYTES // width, n // 2))
+    sample = part.select("vec_id", "vector", F.xxhash64("vec_id", F.lit(7)).alias("order")).orderBy("order", "vec_id").limit(2 * pivots + most).toArrow()
+    x = _units(_matrix(sample.column("vector")))
+    ids, q = sample.column("vec_id").to_numpy()[-most:], x[-most:]
+    router = Router(x[:-most] if len(x) > most else x, pivots, q, least)
+    shared = Shipped(spark, (router, ids, q))
+
+    def true_links(batches):
+        router, ids, q = shared.value
+        sums = np.zeros((len(q), len(router.graph.x)), np.int64)
+        for batch in batches:
+            vec, copies, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _units(_matrix(batch.column(1)))
+            for i in range(0, len(x), 4 * _BLOCK):
+                b, a = np.nonzero(x[i : i + 4 * _BLOCK] @ q.T >= least)
+                ok = vec[b + i] != ids[a]
+                a, b = a[ok], b[ok] + i
+                if len(a):
+                    hit, back = np.unique(b, return_inverse=True)
+                    np.add.at(sums, (a, router.homes(x[hit])[back]), copies[b])
+        a, h = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(h.astype(np.int32)), pa.array(sums[a, h])], ["query", "home", "n"])
+
+    found = part.select("vec_id", "vector", "copies").mapInArrow(true_links, "query int, home int, n long").groupBy("query", "home").agg(F.sum("n").alias("n")).toArrow()
+    of, homes, copies = (found.column(k).to_numpy() for k in ("query", "home", "n"))
+    links = np.bincount(of, weights=copies, minlength=len(q))
+    router.widen(q, of, homes, copies, links)
+    return router, ids, links
+
+
+def _routed(part: DataFrame, router: Router) -> DataFrame:
+    """``vec_id, vector, copies, homes``: the pivots that each vector asks, its own first."""
+    shared = Shipped(part.sparkSession, router)
+
+    def run(batches):
+        router = shared.value
+        for batch in batches:
+            ids, asked = router.asks(_units(_matrix(batch.column(1))))
+            offsets = np.concatenate([[0], np.cumsum(asked.sum(axis=1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[asked]))], ["vec_id", "vector", "copies", "homes"])
+
+    kind = dict(part.dtypes)["vector"]
+    return stash(part.select("vec_id", "vector", "copies").mapInArrow(run, f"vec_id long, vector {kind}, copies long, homes array<int>"), "routed")
+
+
+def _answers(routed: DataFrame, n: int, width: int, least: float) -> list[DataFrame]:
+    """What every vector's homes answer to it, in tables of a bounded number of queries."""
+    members = routed.withColumn("home", F.col("homes")[0]).drop("homes")
+    asked = routed.select("vec_id", "vector", F.explode("homes").alias("home"))
+    sizes = {r.home: r["count"] for r in members.groupBy("home").count().collect()}  # as many rows as pivots
+    asks = {r.home: r["count"] for r in asked.groupBy("home").count().collect()}
+    shards = {h: -(-k * (width + 40 + 12 * LINKS) // SHARD_BYTES) for h, k in sizes.items()}
+    chunks = {h: -(-k * width // QUERY_BYTES) for h, k in asks.items()}
+
+    def of(counts):
+        large = [F.lit(int(y)) for h, k in counts.items() if k > 1 for y in (h, k)]
+        return F.coalesce(F.create_map(*large)[F.col("home")], F.lit(1)) if large else F.lit(1)
+
+    upto = lambda counts: F.explode(F.sequence(F.lit(0), of(counts) - 1))
+    some = lambda counts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), of(counts)).cast("int")
+    asked = asked.withColumn("shard", upto(shards)).withColumn("chunk", some(chunks, 1))
+    members = members.withColumn("shard", some(shards, 2)).withColumn("chunk", upto(chunks))
+    rounds = max(1, math.ceil(sum(k * shards.get(h, 1) for h, k in asks.items()) / max(SENT * n, LEAST_SENT)))
+    out, key = [], ["home", "shard", "chunk"]
+    for i in range(rounds):
+        now = F.pmod(F.xxhash64("home"), F.lit(rounds)) == i
+        out.append(stash(asked.where(now).groupBy(*key).cogroup(members.where(now).groupBy(*key)).applyInArrow(lambda q, m: _ask(q, m, least), FOUND), "answers"))
+    return out
+
+
 def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept, audited_recall`` for each row of ``embeddings``; other columns are ignored.
 
     Two vectors link when their cosine, in double precision, is ``least`` or more (so at a tie); links are those that the
     graphs lead to, and every one counted is verified, by its cosine or by angles that bound it. audited_recall is the least of
-    all tasks' audits; below LEAST_RECALL it is an error. Vectors that are null, empty,
+    all tasks' audits and of the share of their links that sampled queries found; below LEAST_RECALL it is an error. Vectors that are null, empty,
     zero or hold a null or non-finite component link with nothing; vectors of different lengths never
     link. Rows with equal vectors link with each other. A null id keeps its row, links with nothing
     and has a null component and kept. Different vectors under one id are one node and are not linked
@@ -426,33 +555,30 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "v
     spark = embeddings.sparkSession
     small_batches(spark)
     kind = "float" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "double"
-    v = F.transform(F.col(vector_col), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # no negative zeros
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    fine = F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0.0) & F.col("vec_id").isNotNull()
-    rows = stash(rows.select("vec_id", F.when(fine, F.col("v")).alias("vector")).withColumn("hash", F.xxhash64("vector")), "vectors")
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    rows = stash(rows.mapInArrow(lambda b: _fine(b, kind), f"vec_id long, vector array<{kind}>").withColumn("hash", F.xxhash64("vector")), "vectors")
     reps = stash(rows.where("vector IS NOT NULL").groupBy("hash", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct")
-    found = spark.createDataFrame([], FOUND)
+    found, recall = spark.createDataFrame([], FOUND), 1.0
     used = []
     for dim, n in [(r.dim, r["count"]) for r in reps.groupBy(F.size("vector").alias("dim")).count().collect()]:
         width = dim * (4 if kind == "float" else 8)
-        shards, chunks = max(LEAST_SHARDS, -(-n * (width + 40 + 12 * LINKS) // SHARD_BYTES)), max(2, -(-n * width // QUERY_BYTES))
-        of = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-        part = reps.where(F.size("vector") == dim).select(F.col("rep").alias("vec_id"), "vector", "copies", of.alias("shard"))
-        built = stash(part.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _build(t, least), SHARD), "shards")
-        graphs = built.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        asked = part.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        found = found.unionByName(asked.groupBy("shard", "chunk").cogroup(graphs.groupBy("shard", "chunk")).applyInArrow(lambda q, g: _ask(q, g, least), FOUND))
-        used.append(built)
-    found = stash(found, "found")
-    drop(*used)
-    recall = found.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
+        part = reps.where(F.size("vector") == dim).select(F.col("rep").alias("vec_id"), "vector", "copies")
+        router, ids, links = _route(part, n, width, least)
+        routed = _routed(part, router)
+        answers = _answers(routed, n, width, least)
+        drop(routed)
+        used += answers
+        answers = reduce(DataFrame.unionByName, answers)
+        audited = dict(answers.where(F.col("vec_id").isin(ids.tolist()) & F.col("other").isNull()).groupBy("vec_id").agg(F.sum("n")).collect())
+        recall = min(recall, _recalls(np.array([audited.get(i, 0) for i in ids.tolist()]), links), answers.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0])
+        found = found.unionByName(answers)
     if recall < LEAST_RECALL:
         raise RuntimeError(f"audited recall {recall:.3f} is below {LEAST_RECALL}")
     parts = components(found.where("other IS NOT NULL"), "vec_id", "other")
     links = found.where("other IS NULL AND recall IS NULL").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("n"))
     named = reps.join(links, "rep", "left").join(parts, reps.rep == parts.node, "left")
     named = stash(named.select("hash", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
-    drop(found, reps)
+    drop(reps, *used)
     out = rows.join(named, ["hash", "vector"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("audited_recall", F.lit(recall))
 

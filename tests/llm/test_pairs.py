@@ -229,6 +229,47 @@ def test_audit_sees_small_groups_beside_a_hot_one(monkeypatch):
         assert s.audit(np.arange(len(q)) + 10**6, q) == 1.0 and s.graph.dense
 
 
+@pytest.mark.parametrize("flat", [hnsw.FLAT, 20])
+@pytest.mark.parametrize("rank", [48, 3])
+def test_vectors_ask_few_homes(spark, monkeypatch, rank, flat):
+    """Vectors are sent to the shards around them and not to all; where links lie in few directions, to more of them."""
+    rng, sent, keep = np.random.default_rng(rank), [], hnsw.stash
+
+    def counted(df, name="table"):
+        out = keep(df, name)
+        if name == "routed":
+            sent.append([len(r.homes) for r in out.select("homes").collect()])
+        return out
+
+    monkeypatch.setattr(hnsw, "stash", counted)
+    monkeypatch.setattr(hnsw, "HOME_ROWS", 16)
+    monkeypatch.setattr(hnsw, "LEAST_SENT", 2000)
+    monkeypatch.setattr(hnsw, "FLAT", flat)
+    x = rng.normal(size=(1000, rank))
+    near = x[:300] / np.linalg.norm(x[:300], axis=1, keepdims=True)
+    x = np.concatenate([x, near + rng.normal(size=near.shape) * 0.25 / np.sqrt(rank), np.repeat(near[:1], 200, 0) + rng.normal(size=(200, rank)) * 0.02])
+    if rank < 48:
+        x = np.concatenate([x, np.zeros((len(x), 48 - rank))], axis=1) @ np.linalg.qr(rng.normal(size=(48, 48)))[0]
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x[rng.permutation(len(x))])]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    compare(got, rows)
+    assert got[0].audited_recall >= 0.99
+    assert len(sent[0]) == len(rows) and np.mean(sent[0]) < 20  # of 34 pivots
+
+
+def test_pairs_at_the_angle_share_a_home():
+    """Without a link in the sample, two vectors at the linking angle still meet; pivots calibrate nothing on themselves."""
+    rng = np.random.default_rng(14)
+    x = _unit(rng.normal(size=(900, 32)))
+    router = hnsw.Router(x[:400], 200, x[400:], 0.95)
+    q = _unit(rng.normal(size=(2000, 32)))
+    turn = rng.normal(size=q.shape)
+    turn = _unit(turn - (turn * q).sum(1, keepdims=True) * q)
+    ids, asked = router.asks(q)
+    home = router.homes(0.95 * q + np.sqrt(1 - 0.95**2) * turn)
+    assert ((ids == home[:, None]) & asked).any(1).mean() >= 0.98 and asked.mean() * asked.shape[1] < 80
+
+
 def test_low_recall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "LEAST_RECALL", 1.1)
     with pytest.raises(RuntimeError, match="recall"):
