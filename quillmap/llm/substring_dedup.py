@@ -328,13 +328,15 @@ def _tails(spans: DataFrame) -> DataFrame:
     cores = reduce(DataFrame.unionByName, (ends.select(*key, "doc_id", "at", "lacks", F.lit(i).alias("part"), F.col("cores")[i].alias("core")).where("core IS NOT NULL") for i in range(len(PARTS))))
     met = cores.groupBy(*key, "part", "core").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("lacks").alias("lacking")).where("low < high AND lacking")
     met = stash(met.select(*key, "part", "core"), "met")
-    # the least document with each run of words, whatever its length; only those that lack are joined to it
+    needy = cores.where("lacks").join(met, [*key, "part", "core"]).select(*key, "doc_id", "at").distinct()
+    needy = stash(ends.where("lacks").join(needy, [*key, "doc_id", "at"]), "needy")
+    # the least document with each run of words, whatever its length, at the points of those that lack; only they are joined to it
+    points = broadcast_if(stash(needy.select(*key).distinct(), "points"), BROADCAST_IDS)
+    ends = stash(ends.select(*key, "doc_id", "at", "more", "lacks").join(points, key, "left_semi"), "ends")
     cut = lambda n: F.xxhash64(F.slice("more", 1, n)).alias("prefix")
     every = reduce(DataFrame.unionByName, (ends.where(F.size("more") >= n).select(*key, F.lit(n).alias("n"), cut(n), "doc_id", "lacks") for n in range(1, MARGIN + 1)))
     least = every.groupBy(*key, "n", "prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("lacks").alias("lacking")).where("low < high AND lacking")
     least = stash(least.select(*key, "n", "prefix", "low"), "least")
-    needy = cores.where("lacks").join(met, [*key, "part", "core"]).select(*key, "doc_id", "at").distinct()
-    needy = ends.where("lacks").join(needy, [*key, "doc_id", "at"])
     prefixes = needy.select(*key, "doc_id", "class", "at", F.posexplode(F.expr("transform(sequence(1, size(more)), n -> xxhash64(slice(more, 1, n)))")).alias("n", "prefix")).withColumn("n", F.col("n") + 1)
     longest = prefixes.join(least, [*key, "n", "prefix"]).where("low < doc_id").groupBy(*key, "doc_id", "class", "at").agg(F.max(F.struct("n", "prefix", "low")).alias("x"))
     longest = stash(longest.select(*key, "doc_id", "class", "at", "x.n", "x.prefix", "x.low"), "longest")
@@ -343,7 +345,7 @@ def _tails(spans: DataFrame) -> DataFrame:
     back = F.when(F.col("right"), F.lit(BLOCK)).otherwise(F.col("n"))
     tails = found.select("doc_id", (F.col("at") - back).alias("start"), (F.col("n") + BLOCK).cast("long").alias("n_words"), "class", F.col("low").alias("source_doc_id"), (F.col("low_at") - back).alias("source_start"))
     tails = stash(tails, "tails")
-    drop(met, least, longest)
+    drop(met, needy, points, ends, least, longest)
     return tails
 
 

@@ -152,3 +152,28 @@ def test_overlapping_passages_survive(spark):
     left = {r.doc_id: words(r.text) for r in substring_dedup.remove_passages(df, exact).collect()}
     check(rows, found.collect(), left)
     assert sum(map(len, left.values())) < 0.6 * sum(len(w) for w in _texts(rows).values())
+
+
+def test_points_that_no_document_needs_are_left_out(spark, monkeypatch):
+    """Words behind a point are hashed only where documents that lack a run there share enough words across it."""
+    new, rows, made, keep = _maker(23), [], [], substring_dedup.stash
+
+    def counted(df, name="table"):
+        out = keep(df, name)
+        if name == "least":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stash", counted)
+    for i in range(60):
+        body, after = new(40), new(3)
+        rows += [(10 * i, " ".join(new(9) + body + new(9)))] + [(10 * i + j, " ".join(new(9) + body + after + new(9))) for j in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs)
+    check(rows, found.collect(), None)
+    assert made == [0]
+    shared = [*new(60), *new(12)]
+    rows += [(1000, " ".join(new(9) + shared[:60] + new(20))), (1001, " ".join(new(9) + shared + new(9))), (1002, " ".join(new(9) + shared + new(9)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, substring_dedup.repeated_passages(docs).collect(), None)
+    assert 0 < made[1] <= 21
