@@ -25,8 +25,10 @@ CLASSES, SHARED = 128, 64
 #: Words on either side, and hidden units.
 SIDE, HIDDEN = 2, 32
 OFFSETS = tuple(o for o in range(-SIDE, SIDE + 1) if o)
-#: Windows of a step; windows that the starting point is trained on, and its steps.
-BATCH, START_WINDOWS, START_STEPS = 4096, 60_000, 150
+#: Windows of a step, and of its matrices; windows that the starting point is trained on, and its steps.
+BATCH, BLOCK, START_WINDOWS, START_STEPS = 4096, 1024, 60_000, 150
+#: Logits up to which no exponential, nor a sum of them, leaves single precision.
+SAFE = 60.0
 #: Rates of the start and of the pass over all windows.
 RATES = 0.02, 0.004
 #: Words with this share of all words, so 100,000 at most, are sent to all tasks; others are joined.
@@ -79,35 +81,51 @@ class WindowNetwork:
         self.steps = 0
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.p["around"][k][x[:, k]] for k in range(len(OFFSETS))) + self.p["hidden"])
-
-    def logs(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.p["out"] + self.p["bias"]
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        h = self.p["around"][0].take(x[:, 0], axis=0)
+        for k in range(1, len(OFFSETS)):
+            h += self.p["around"][k].take(x[:, k], axis=0)
+        h += self.p["hidden"]
+        return np.tanh(h, out=h)
+
+    def weights(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window the log-probability of its class y, all classes' weights, which are as their probabilities, and their sum."""
+        z = h @ self.p["out"]
+        z += self.p["bias"]
+        if (np.abs(self.p["out"]).sum(axis=0) + np.abs(self.p["bias"])).max() > SAFE:  # hidden units are within 1
+            z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(y)), y]
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[1], z.dtype)
+        return own - np.log(total), z, total
 
     def log_probability(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of each class y in its context x."""
         out = np.empty(len(y))
-        for i in range(0, len(y), BATCH):
-            out[i : i + BATCH] = self.logs(self.hidden(x[i : i + BATCH]))[np.arange(len(y[i : i + BATCH])), y[i : i + BATCH]]
+        for i in range(0, len(y), BLOCK):
+            out[i : i + BLOCK] = self.weights(self.hidden(x[i : i + BLOCK]), y[i : i + BLOCK])[0]
         return out
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:
         """One step of Adam on the mean log-loss of the windows, which is returned."""
-        h, each = self.hidden(x), np.arange(len(y))
-        z = self.logs(h)
-        loss = -float(z[each, y].mean())
-        d = np.exp(z)
-        d[each, y] -= 1
-        d /= len(y)
-        back = (d @ self.p["out"].T) * (1 - h * h)
-        g = {"out": h.T @ d, "bias": d.sum(0), "hidden": back.sum(0), "around": np.zeros_like(self.p["around"])}
-        for k in range(len(OFFSETS)):
-            order = np.argsort(x[:, k], kind="stable")
-            seen, first = np.unique(x[order, k], return_index=True)
-            g["around"][k, seen] = np.add.reduceat(back[order], first, axis=0)
+        g, loss, n = {k: np.zeros_like(v) for k, v in self.p.items()}, 0.0, len(y)
+        for i in range(0, n, BLOCK):  # small enough for the processor's cache
+            u, v = x[i : i + BLOCK], y[i : i + BLOCK]
+            h, each = self.hidden(u), np.arange(len(v))
+            logs, d, total = self.weights(h, v)
+            loss -= float(logs.sum()) / n
+            d *= (1 / (total * n))[:, None]
+            d[each, v] -= d.dtype.type(1 / n)
+            back = (d @ self.p["out"].T) * (1 - h * h)
+            ones = np.ones(len(v), d.dtype)
+            g["out"] += h.T @ d
+            g["bias"] += ones @ d
+            g["hidden"] += ones @ back
+            for k in range(len(OFFSETS)):
+                near = u[:, k].astype(np.uint8)  # bytes sort in linear time
+                order = np.argsort(near, kind="stable")
+                near = near[order]
+                first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+                g["around"][k, near[first]] += np.add.reduceat(back[order], first, axis=0)
         self.steps += 1
         for k, v in g.items():
             m, s = self.moments.setdefault(k, [np.zeros_like(v), np.zeros_like(v)])

@@ -120,3 +120,46 @@ def test_unseen_words(spark):
 
 def test_query(spark):
     assert QUERIES["op2_lm_scoring"](spark, "/root/testdata/sf0.01").count() == 1000
+
+
+class Counting:
+    """numpy, counting the values whose exponential is taken."""
+
+    def __init__(self):
+        self.exps = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def exp(self, x, **more):
+        self.exps += x.size
+        return np.exp(x, **more)
+
+
+@pytest.mark.parametrize("scale", [0.3, 40.0])
+def test_a_step_takes_each_exponential_once(monkeypatch, scale):
+    """Also in blocks, and with logits whose exponentials single precision cannot hold, results are those of a plain computation."""
+    rng, net = np.random.default_rng(3), masked_lm.WindowNetwork()
+    n = 2 * masked_lm.BATCH // 3
+    x, y = rng.integers(0, masked_lm.CLASSES, (n, 4)), rng.integers(0, masked_lm.CLASSES, n)
+    net.p = {k: rng.normal(0, scale if k == "out" else 0.3, v.shape).astype(np.float32) for k, v in net.p.items()}
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    h = np.tanh(sum(p["around"][k][x[:, k]] for k in range(4)) + p["hidden"])
+    z = h @ p["out"] + p["bias"]
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    assert np.allclose(net.log_probability(x, y), z[np.arange(n), y], rtol=1e-4, atol=1e-3)
+    d = np.exp(z)
+    d[np.arange(n), y] -= 1
+    d /= n
+    back = (d @ p["out"].T) * (1 - h * h)
+    around = np.zeros_like(p["around"])
+    for k in range(4):
+        np.add.at(around[k], x[:, k], back)
+    counting = Counting()
+    monkeypatch.setattr(masked_lm, "np", counting)
+    loss = net.step(x, y, 0.0)
+    assert counting.exps == n * masked_lm.CLASSES
+    assert math.isclose(loss, -z[np.arange(n), y].mean(), rel_tol=1e-4)
+    for k, want in (("out", h.T @ d), ("bias", d.sum(0)), ("hidden", back.sum(0)), ("around", around)):
+        assert np.allclose(net.moments[k][0] / 0.1, want, rtol=1e-3, atol=1e-5 * max(1.0, scale)), k
